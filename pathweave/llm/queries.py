@@ -12,6 +12,7 @@ from .language_id import identify
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pii import digest, find_personal_data
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -46,11 +47,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir)).drop("next_fingerprint")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_personal_data(documents(spark, sf_dir)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_ngram_join, op5_exact_dedup, op6_fingerprints, op9_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_packing, op3_ngram_join, op5_exact_dedup, op6_fingerprints, op7_pii, op9_mixing)}
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
