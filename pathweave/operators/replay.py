@@ -23,8 +23,6 @@ from ..functions.paths import family, valid_path
 KEY = ("rc", "peer_ip", "pfx")
 #: Fields of an announcement and of a withdrawal; lines of any other shape are no updates.
 ANNOUNCEMENT_FIELDS, WITHDRAWAL_FIELDS = 15, 6
-#: Peers below which the known ones are sent to every task; their number is that of sessions, and it is counted first.
-BROADCAST_PEERS = 200_000
 
 
 def of_peers(rows: DataFrame, peer_ips: Sequence[str] = (), peer_asns: Sequence[int] = ()) -> DataFrame:
