@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import TIME_FORMAT, CollectionConfig
 from ..observers import AsGraph, AsMultigraph, Observer, PathCounts, UpdateCounts
 from ..operators import compare, replay
-from ..sources import landing, lines
+from ..sources import landing, lines, mrt
 from .window import Plan, plan
 
 #: The seed sorts before all updates; its snapshot is named after the start.
@@ -92,13 +92,13 @@ def default_observers() -> list[Observer]:
     return [AsGraph("graph"), AsMultigraph("multigraph"), UpdateCounts("update_count"), PathCounts("path")]
 
 
-def from_files(spark: SparkSession, config: CollectionConfig, where) -> Run:
-    """A run over decoded files; where(url) is the path of an address's file."""
+def from_files(spark: SparkSession, config: CollectionConfig, where, read=lines.read_lines) -> Run:
+    """A run over landed files: where(url) is the path of an address's file; read is lines.read_lines or mrt.read_mrt."""
     p = plan(config)
     of = lambda kind, keep: [(where(u), rc, ts) for ts, rc, k, u in p.files if k == kind and keep(ts)]
-    ribs = lines.rib_rows(lines.read_lines(spark, of("rib", lambda ts: ts == p.start)))
-    updates = lines.update_rows(lines.read_lines(spark, of("update", lambda ts: True)).withColumn("file_label", F.col("file_label").cast("timestamp_ntz")))
-    truth = lines.good(lines.rib_rows(lines.read_lines(spark, of("rib", lambda ts: ts == p.end))), config.strict) if p.compare else None
+    ribs = lines.rib_rows(read(spark, of("rib", lambda ts: ts == p.start)))
+    updates = lines.update_rows(read(spark, of("update", lambda ts: True)).withColumn("file_label", F.col("file_label").cast("timestamp_ntz")))
+    truth = lines.good(lines.rib_rows(read(spark, of("rib", lambda ts: ts == p.end))), config.strict) if p.compare else None
     return Run(spark, config, p, lines.good(ribs, config.strict), lines.good(updates, config.strict), truth)
 
 
@@ -113,7 +113,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     a.add_argument("-k", "--peer_ip", nargs="+", default=[], help="addresses of peers")
     a.add_argument("-l", "--time_format", default=TIME_FORMAT, help="format of times in arguments and names")
     a.add_argument("--output_dir", default=d.output_dir)
-    a.add_argument("--landing", default="data/landing", help="folder of the fetched, decoded files")
+    a.add_argument("--landing", default="data/landing", help="folder of the files")
+    a.add_argument("--mrt", action="store_true", help="the landing folder holds binary MRT files, as the archives have them")
     a.add_argument("--fetch", action="store_true", help="fetch missing files first")
     a.add_argument("--filter_peer_asn", action="store_true", help="apply --peer_asn")
     a.add_argument("--strict", action="store_true", help="stop at malformed lines")
@@ -124,7 +125,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if x.fetch:
         log.info("landed %s", landing.statistics(landing.land([f[3] for f in plan(config).files], x.landing)))
     spark = SparkSession.builder.appName("pathweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    run = from_files(spark, config, where)
+    run = from_files(spark, config, where, mrt.read_mrt if x.mrt else lines.read_lines)
     run.write(default_observers())
     for name, rows in (run.verify() or {}).items():
         rows.write.mode("overwrite").parquet(f"{config.output_dir}/processed/{config.output_filename}/check_{name}")
