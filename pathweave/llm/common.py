@@ -41,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id on the way through pandas, whose numbers beside nulls lose digits. It is no id of its own.
+NO_ID = -(2**63)
+
+
+def id_or_none(col: Column) -> Column:
+    """A bigint id with NO_ID for null."""
+    return F.coalesce(col.cast("bigint"), F.lit(NO_ID))
+
+
+def id_again(col: Column) -> Column:
+    return F.when(col != NO_ID, col)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -87,10 +87,10 @@ def _refined(rows: DataFrame, edge: DataFrame, bits: int) -> DataFrame:
     passes = F.col("_had") + F.col("_upto") > F.col("_goal")
     found = sums.groupBy("_source").agg(
         F.min(F.when(passes, F.col("_bucket"))).alias("_cut"), F.min_by(F.when(passes, F.col("_upto") - F.col("_in")), F.when(passes, F.col("_bucket"))).alias("_before"), F.min_by(F.when(passes, F.col("_in")), F.when(passes, F.col("_bucket"))).alias("_cut_in"),
-        F.sum("_in").alias("_total"),
+        F.sum("_in").alias("_total"), F.lit(True).alias("_found"),
     )
     # a bucket always passes but for rounding; without one all of the source is taken, and finer levels find no rows
-    low = F.when(F.col("_source").isNull(), F.col("_low")).otherwise(F.coalesce("_cut", F.lit(1 << BITS)))
+    low = F.when(F.col("_found").isNull(), F.col("_low")).otherwise(F.coalesce("_cut", F.lit(1 << BITS)))
     total = F.col("_sum") + F.coalesce(F.when(F.col("_cut").isNotNull(), F.col("_before")).otherwise(F.col("_total")), F.lit(0))
     if bits == 0:
         nearer = F.col("_cut").isNotNull() & (F.abs(F.col("_sum") + F.col("_before") + F.col("_cut_in") - F.col("_rest")) < F.abs(F.col("_sum") + F.col("_before") - F.col("_rest")))

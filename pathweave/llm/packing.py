@@ -12,33 +12,42 @@ each for itself. An empty table gives no rows. Texts are tokenised whole; a long
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_id, written
+from .common import id_again, id_or_none, partitions, range_id, written
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END_ID = 4096, 2
 #: Dimensions of the curve and bits of each.
 DIMS, BITS = 4, 12
 #: Chunks of text whose ids a worker remembers; a full memory is emptied.
-REMEMBER = 400_000
-#: Documents that a worker splits at once.
-AT_ONCE = 500
+REMEMBER = 500_000
+#: Documents that a worker splits at once, and new pieces that it encodes together.
+AT_ONCE, TOGETHER = 200, 1000
+
+
+#: A stop or comma that ends a word is a token of its own; the vocabulary has no capitals, of which bytes.lower() meets A-Z.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
 
 class Words:
     """Token ids of whole texts, by remembering those of each piece between white space.
 
     The vocabulary drops white space, so that no token reaches over it and a text's ids are those of its pieces, joined.
+    New pieces are encoded together, as one text, and told apart by where their tokens begin.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
@@ -46,18 +55,27 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, the end token not included."""
-        pieces = [(t or "").encode().split() for t in texts]
+        pieces = [_STOP.sub(rb" \1", (t or "").encode().lower()).split() for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
-        new = list({w for p in pieces for w in p} - self.known.keys())
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for w, e in zip(some, self.model.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        new = list(set().union(*pieces).difference(self.known))
+        for lo in range(0, len(new), TOGETHER):
+            some = [w.decode() for w in new[lo : lo + TOGETHER]]
+            got = self.model.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4").tobytes()
+            begins = np.cumsum([0] + [len(w) + 1 for w in some])
+            cuts = np.searchsorted(np.array([o for o, _ in got.offsets] or [0][:0], np.int64), begins) * 4
+            self.known.update((w, ids[x:y]) for w, x, y in zip(new[lo : lo + TOGETHER], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
+@lru_cache(1)
+def words_of(vocabulary: str) -> Words:
+    """One for each worker process, which goes from task to task."""
+    return Words(vocabulary)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -119,13 +137,13 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = Words(vocabulary), np.asarray([end_id], "<u4").tobytes()
+        words, end = words_of(vocabulary), np.asarray([end_id], "<u4").tobytes()
         table = directions(max(words.model.get_vocab_size(), end_id + 1), DIMS)
         for b in (b[lo : lo + AT_ONCE] for b in batches for lo in range(0, len(b), AT_ONCE)):
             got = words.encode(list(b["_t"]))
             yield pd.DataFrame({"_id": b["_id"], "_key": curve_keys(got, table), "_n": [len(x) // 4 + 1 for x in got], "_ids": [x + end for x in got]})
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
+    texts = docs.select(id_or_none(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t"))
     rows = written(texts.mapInPandas(tokenise, "_id bigint, _key bigint, _n bigint, _ids binary"), "tokens")
     n = partitions(spark)
     dealt = rows.withColumn("_pid", range_id(rows, [("_key", "bigint"), ("_id", "bigint")], F.col("_n"), n))
@@ -145,12 +163,12 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
                 while start < n:
                     take = min(n - start, length - at % length)
                     piece = ids[4 * start : 4 * (start + take)]
-                    out.append((None if pd.isna(doc) else int(doc), start, take, zlib.crc32(piece), n, at // length, at % length, piece))
+                    out.append((int(doc), start, take, zlib.crc32(piece), n, at // length, at % length, piece))
                     start, at = start + take, at + take
                 place[pid] = at
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
     names = [x.split()[0] for x in schema.split(", ")]
     placed = dealt.repartitionById(n, F.col("_pid")).sortWithinPartitions("_pid", "_key", "_id", F.crc32("_ids"))
-    return placed.select("_pid", "_id", "_ids").mapInPandas(cut, schema)
+    return placed.select("_pid", "_id", "_ids").mapInPandas(cut, schema).withColumn("doc_id", id_again(F.col("doc_id")))
