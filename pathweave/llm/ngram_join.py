@@ -7,8 +7,8 @@
    last), the first H + 1 segments of either have one in common. Those alone are indexed, for its own band and, where sizes
    allow, for the band below.
 3. Segments that two or more nodes share give candidates. Each node is compared first with the smallest node of the segments
-   it shares with most, then with the smallest of its other segments, then with all others of its segments that are still in
-   another component. So a group of n near copies costs about n comparisons, and no link between components is lost.
+   it shares with most, then with the smallest of its other segments, then with all that share c segments with it and are
+   still in another component. So a group of n near copies costs about n comparisons, and no link between components is lost.
 4. Where a segment would give more pairs than indexing its nodes anew costs, its nodes are joined by fewer, larger segments
    and their one-deletion neighbourhoods: each such segment covers two differences, and keys of six or more common hashes
    are seldom shared by texts that only hold a common passage.
@@ -28,18 +28,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import written
+from .common import id_again, id_or_none, written
 from .components import components
 
 WORDS = 5
 #: Linked at a similarity of NUM / DEN.
 NUM, DEN = 3, 4
-#: Segments beyond the necessary, as a share and a number, so that few sets need empty ones.
+#: Segments beyond the necessary, as a share and a number, so that few sets need empty ones; and of those indexed.
 SLACK, MORE = 1.2, 2
+COMMON = 10
+#: Pairs of a key, for each shingle of its nodes, from which on a new index of the nodes is cheaper.
+DEAR = 2
+#: Low bits of a key that hold its band.
+BAND_BITS = 7
 #: Bits of the map that spares documents without candidates the shuffle of texts; a full map lets all through.
 MAP_BITS = 1 << 23
 #: Words a worker remembers, documents it handles at once, nodes a task remembers to have indexed.
@@ -55,23 +59,27 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class Hashes(dict):
+    """Hashes of words, each made when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingles:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Hashes()
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: A-Z only, and the white space of the contract
         if len(words) < WORDS:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)] if words else [], np.uint64)
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        w = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = len(words) - WORDS + 1
         h = w[:n] * _P[0]
         for k in range(1, WORDS):
@@ -116,9 +124,19 @@ def band_top(k: int) -> int:
 @lru_cache(None)
 def plan(k: int, deletions: bool) -> int:
     """Segments of band k: enough for its largest set and a partner from the band above."""
+    return (needed(k) + 1) // 2 if deletions else int(SLACK * needed(k)) + MORE
+
+
+@lru_cache(None)
+def needed(k: int) -> int:
+    """The most differences in band k, and one."""
     top = band_top(k)
-    need = differences(top + top * DEN // NUM) + 1
-    return (need + 1) // 2 if deletions else int(SLACK * need) + MORE
+    return differences(top + top * DEN // NUM) + 1
+
+
+def common(k: int) -> int:
+    """Segments that linked sets in band k have in common among the first of either."""
+    return 1 + needed(k) // COMMON
 
 
 def keys(hashes: np.ndarray, k: int, take: int, deletions: bool) -> np.ndarray:
@@ -135,22 +153,23 @@ def keys(hashes: np.ndarray, k: int, take: int, deletions: bool) -> np.ndarray:
     place = np.arange(m, dtype=np.uint64) + _U(k << 40)
     whole = _mix(sums + _mix(place, 7), salt)
     if deletions:
-        return np.unique(np.concatenate([whole, _mix(sums[segment] - part + _mix(place, 7)[segment], salt)]))
-    return whole[np.lexsort((whole, -sizes))[:take]]
+        every = np.concatenate([whole, _mix(sums[segment] - part + _mix(place, 7)[segment], salt)])
+        return np.unique(every >> _U(BAND_BITS) << _U(BAND_BITS) | _U(k))
+    return whole[np.lexsort((whole, -sizes))[:take]] >> _U(BAND_BITS) << _U(BAND_BITS) | _U(k)
 
 
 def index_keys(hashes: np.ndarray, deletions: bool = False) -> Iterator[tuple[np.ndarray, bool]]:
     """Keys with whether they are of the set's own band."""
     size = len(hashes)
     k, low = band_of(size)
-    yield keys(hashes, k, differences(size + size * DEN // NUM) + 1, deletions), True
+    yield keys(hashes, k, differences(size + size * DEN // NUM) + common(k), deletions), True
     if k and size * NUM <= (low - 1) * DEN:
-        yield keys(hashes, k - 1, differences(size + low - 1) + 1, deletions), False
+        yield keys(hashes, k - 1, differences(size + low - 1) + common(k - 1), deletions), False
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"))
+    texts = docs.select(id_or_none(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t"))
     sets = written(texts.mapInPandas(_describe, "_id bigint, n bigint, node bigint, check bigint"), "sets")
     full = sets.filter("n > 0")
     clash = full.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("node")
@@ -159,13 +178,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sets = sets.withColumn("node", F.when(F.col("node").isin(*clashing), F.xxhash64("node", "check")).otherwise(F.col("node")))
         sets = written(sets, "renamed")
         full = sets.filter("n > 0")
-    nodes = full.groupBy("node").agg(F.min("_id").alias("first"), F.first("n").alias("n"))
+    nodes = full.groupBy("node").agg(F.min("_id").alias("first"), F.min(id_again(F.col("_id"))).alias("named"), F.first("n").alias("n"))
     links, labels = _linked(texts, nodes, clashing)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min("first").alias("component"))
+    heads = named.groupBy("label").agg(F.min("named").alias("component"))
     found = named.join(heads, "label").select(F.col("node").alias("_node"), "component")
-    out = sets.join(found, F.col("node") == F.col("_node"), "left")
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"))
+    out = sets.join(found, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    return out.select(id_again(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(id_again(F.col("_id"))).alias("component_id"))
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,8 +194,8 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for i, t in zip(b["_id"], b["_t"], strict=True):
                 h = shingles.of(t)
-                out.append((None if pd.isna(i) else int(i), len(h), *(set_id(h) if len(h) else (None, None))))
-            yield pd.DataFrame(out, columns=["_id", "n", "node", "check"]).astype({"_id": "Int64", "node": "Int64", "check": "Int64"})
+                out.append((int(i), len(h), *(set_id(h) if len(h) else (0, 0))))
+            yield pd.DataFrame(out, columns=["_id", "n", "node", "check"])
 
 
 def _name(hashes: np.ndarray, clashing: frozenset[int]) -> int:
@@ -221,8 +240,22 @@ def _shared(texts: DataFrame, clashing: frozenset[int], deletions: bool, name: s
     rows = texts.mapInPandas(_indexer(clashing, deletions), "key bigint, node bigint, own boolean")
     by = Window.partitionBy("key")
     rows = rows.select("*", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi"), F.min(F.when(F.col("own"), F.col("node"))).over(by).alias("head"))
-    rows = rows.filter("lo <> hi AND head IS NOT NULL").select("key", "node", "own", "head")
-    return written(rows.groupBy("key", "node", "own").agg(F.first("head").alias("head")), name)  # dealt by key already
+    rows = rows.filter("lo <> hi AND head IS NOT NULL").groupBy("key", "node", "own").agg(F.first("head").alias("head"))  # dealt by key already
+    if deletions:
+        return written(rows, name)
+    rows = written(rows, name)
+    enough = rows.groupBy("node", band(F.col("key")).alias("band")).agg(F.count("*").alias("c")).filter(F.col("c") >= common_of(F.col("band")))
+    rows = rows.join(enough.select(F.col("node").alias("_n"), "band"), (F.col("node") == F.col("_n")) & (band(F.col("key")) == F.col("band")), "left_semi")
+    return written(rows, f"{name}_enough")
+
+
+def band(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+
+
+def common_of(k: Column) -> Column:
+    """common() of a band."""
+    return F.get(F.array(*[F.lit(common(b)) for b in range(64)]), k)
 
 
 def _linked(texts: DataFrame, nodes: DataFrame, clashing: frozenset[int]) -> tuple[DataFrame, DataFrame]:
@@ -260,29 +293,41 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a > b) of nodes that share a key and are in two components; and the nodes of keys that are dearer than a new index.
 
-    Of each key, the nodes outside its largest component are paired with all others: a key of many near copies and a few
-    others costs the few times the many. Without nodes (sizes), no key is too dear.
+    Keys that are in two components or more and have the same nodes count as one of their number. Of each key, the nodes
+    outside its largest component are paired with all others: a key of many near copies and a few others costs the few times
+    the many. Without nodes (sizes), no key is too dear.
     """
     rows = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    by_key = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main", "all", ((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"), *[F.sum(F.xxhash64(F.lit(k), "node", "own").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    by_key = each.groupBy("key").agg(
+        F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")
+    )
+    by_key = by_key.filter("parts > 1").groupBy(band(F.col("key")), "h1", "h2", "all").agg(F.min("key").alias("key"), F.first("main").alias("main"), F.first("most").alias("most"), F.count("*").alias("times"))
+    by_key = by_key.select("key", "main", "times", ((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"))
     mixed = rows.join(by_key, "key")
     if nodes is None:
         few, dear = mixed, None
     else:
-        cost = mixed.join(nodes.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("rows"), F.first("pairs").alias("pairs"))
-        too = cost.filter(F.col("pairs") > 2 * F.col("rows")).select("key")
+        mixed = written(mixed.select("key", "node", "own", "label", "main", "times", "pairs"), "mixed")
+        # a new index of a node serves all its keys: each bears a part of the cost
+        part = mixed.groupBy("node").agg(F.count("*").alias("_keys")).join(nodes.select("node", "n"), "node").select("node", (F.col("n") / F.col("_keys")).alias("_cost"))
+        cost = mixed.join(part, "node").groupBy("key").agg(F.sum("_cost").alias("rows"), F.first("pairs").alias("pairs"))
+        too = written(cost.filter(F.col("pairs") > F.lit(DEAR) * F.col("rows")).select("key"), "too_dear")
         few = mixed.join(too, "key", "left_anti")
         dear = written(mixed.join(too, "key", "left_semi").select("node").distinct(), "dear")
-    left = few.filter("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("own").alias("ox"))
+    left = few.filter("label <> main").select("key", "times", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("own").alias("ox"))
     right = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("own").alias("oy"), "main")
-    pairs = left.join(right, "key").filter("lx <> ly AND (ox OR oy) AND (ly = main OR x > y)")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), dear
+    pairs = left.join(right, "key").filter("lx <> ly AND (ox OR oy) AND (ly = main OR x > y)").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), band(F.col("key")).alias("band"), "times")
+    if nodes is None:
+        return pairs.select("a", "b").distinct(), dear
+    # a pair that shares no dear key has all that it shares here; one that does is in the new index
+    counted = pairs.groupBy("a", "b", "band").agg(F.sum("times").alias("c")).filter(F.col("c") >= common_of(F.col("band")))
+    return counted.select("a", "b").distinct(), dear
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text: of each wanted node, its first document's text. A map of fixed size keeps the others from the shuffle."""
-    place = F.pmod(F.xxhash64(F.coalesce("_first", F.lit(0))), F.lit(MAP_BITS))
+    place = F.pmod(F.xxhash64("_first"), F.lit(MAP_BITS))
     parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     bits = np.zeros(MAP_BITS // 8 + 4096 * 2, np.uint8)
     for r in parts.collect():
@@ -294,9 +339,9 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         at = bucket.to_numpy() * 4096 + position.to_numpy() // 8
         return pd.Series((one.value[at] >> (position.to_numpy() % 8) & 1).astype(bool))
 
-    here = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(MAP_BITS))
+    here = F.pmod(F.xxhash64("_id"), F.lit(MAP_BITS))
     rows = texts.filter(maybe(F.bitmap_bucket_number(here), F.bitmap_bit_position(here)))
-    got = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_first")))
+    got = rows.join(wanted, F.col("_id") == F.col("_first"))
     return got.groupBy("node").agg(F.first("_t").alias("text"))
 
 
