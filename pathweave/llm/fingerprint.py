@@ -21,14 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, range_id, search
+from .common import id_again, id_or_none, partitions, range_id, search
 
 BUCKETS = 128
 #: Places in a window of four bytes that make a triplet.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: The difference at which likeness is 0.
 BOUND = 400
-LOWEST = -(2**63)
 
 
 def digest(data: bytes) -> str:
@@ -74,12 +73,12 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _t, _next: each document's text and that of the next by ascending id, around the end.
+    """_k (the id, NO_ID for null), _t, _next: each document's text and that of the next by ascending id, around the end.
 
     Documents are dealt by ranges of ids. The first document of each range goes to the range before it as well, so that its
     last document finds its next there: one more row for each partition.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = docs.select(id_or_none(F.col(id_col)).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     n = partitions(docs.sparkSession)
     pid = range_id(rows.select("_k"), [("_k", "bigint")], F.lit(1), n)
     heads = sorted((r[1], r[0]) for r in rows.select("_k", pid.alias("_pid")).groupBy("_pid").agg(F.min("_k")).collect())
@@ -90,7 +89,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     copies = F.filter(F.array(F.struct(pid.alias("_pid"), F.lit(False).alias("_ghost")), ghost), lambda x: x.isNotNull())
     dealt = rows.select("*", F.inline(copies)).repartitionById(n, F.col("_pid"))
     order = Window.partitionBy("_pid").orderBy("_ghost", "_k", "_t")
-    return dealt.withColumn("_next", F.lead("_t").over(order)).filter(~F.col("_ghost")).select("_id", "_t", "_next")
+    return dealt.withColumn("_next", F.lead("_t").over(order)).filter(~F.col("_ghost")).select("_k", "_t", "_next")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,13 +99,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             out, texts, nexts = [], list(b["_t"]), list(b["_next"])
             own = [digest(t.encode()) for t in texts]
-            for k, (i, t, following) in enumerate(zip(b["_id"], texts, nexts, strict=True)):
+            for k, (i, t, following) in enumerate(zip(b["_k"], texts, nexts, strict=True)):
                 e = edited(t, following).encode()
                 there = own[k + 1] if k + 1 < len(own) and texts[k + 1] == following else digest(following.encode())
                 of_edited = digest(e)
-                out.append((None if pd.isna(i) else int(i), len(t), hashlib.sha256(e).hexdigest(), own[k], of_edited, likeness(own[k], of_edited), likeness(own[k], there), there))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                out.append((int(i), len(t), hashlib.sha256(e).hexdigest(), own[k], of_edited, likeness(own[k], of_edited), likeness(own[k], there), there))
+            yield pd.DataFrame(out, columns=names)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_fingerprint string"
     names = [x.split()[0] for x in schema.split(", ")]
-    return with_next(docs, id_col=id_col, text_col=text_col).mapInPandas(run, schema)
+    return with_next(docs, id_col=id_col, text_col=text_col).mapInPandas(run, schema).withColumn("doc_id", id_again(F.col("doc_id")))

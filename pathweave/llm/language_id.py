@@ -35,6 +35,8 @@ GRAMS = (1, 2, 3, 4)
 TRAIN_DOCS = 3000
 #: Languages that are scored at once.
 BLOCK = 256
+#: Languages of which the sampling shares are sent to every task.
+BROADCAST_LANGUAGES = 10_000
 #: Words whose n-grams a worker remembers, and n-grams it counts before it hands them on.
 REMEMBER, HOLD = 200_000, 300_000
 UNKNOWN = "und"
@@ -81,6 +83,9 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ke
     """lang, gram (hash), rank from 0: the profile of each language of the labelled documents."""
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_t"), F.pmod(F.xxhash64(F.col(key_col)), F.lit(1 << 30)).alias("_u")).filter("lang IS NOT NULL AND _t IS NOT NULL")
     share = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*") * (1 << 30)).alias("_below"))
+    share = written(share, "shares")
+    if share.count() <= BROADCAST_LANGUAGES:  # else a join by language, which moves the labelled texts
+        share = F.broadcast(share)
     sample = labelled.join(share, "lang").filter("_u < _below").select("lang", "_t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,8 @@
 """Fuzzy line deduplication over all documents.
 
 1. Lines are normalised (lower case, runs of characters other than letters and digits become one space, ends cut off). Equal
-   normalised lines are one node. Lines of under MIN_CHARS normalised characters are left alone.
+   normalised lines are one node, named by a 64-bit hash; two lines of one name, under ten pairs in 10^10 lines, count as
+   equal. Lines of under MIN_CHARS normalised characters are left alone.
 2. Each node has a 64-bit SimHash of its character trigrams. Two nodes are candidates if their hashes differ in DISTANCE bits
    at most: of BLOCKS blocks of bits, BLOCKS - DISTANCE are then equal, and every choice of so many blocks is a key.
 3. Candidates are verified by edit similarity, 1 - edits / longer length, of SIMILARITY at least. A key's nodes are compared
@@ -159,7 +160,6 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = line_table(docs, id_col, text_col)
     place = F.struct(F.coalesce("_id", F.lit(LOWEST)).alias("i"), F.col("_row").alias("r"), F.col("pos").alias("p"))
     long = lines.filter(F.length("line") >= MIN_CHARS).select("line", F.xxhash64("line").alias("node"), place.alias("place"))
-    # the key is the line's 64-bit hash with its text: two lines of one hash would be told apart by the grouping, not by the links
     nodes = written(long.groupBy("node").agg(F.first("line").alias("line"), F.min("place").alias("place")), "nodes")
     groups = line_groups(nodes.select("node", "line"))
     named = nodes.select("node", "place").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Tree, forest
+from .common import id_again, id_or_none
 
 TREES, DEPTH = 30, 8
 SAMPLE, RECALL = 3000, 0.98
@@ -121,8 +122,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             out = []
             for i, spans in zip(b["_id"], found, strict=True):
                 kept = [{"start": s, "end": e, "score": v} for (s, e), v in zip(spans, scores) if v >= least]
-                out.append((None if pd.isna(i) else int(i), len(spans), len(kept), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_candidates", "n_secrets", "secrets"]).astype({"doc_id": "Int64"})
+                out.append((int(i), len(spans), len(kept), kept))
+            yield pd.DataFrame(out, columns=["doc_id", "n_candidates", "n_secrets", "secrets"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_t"), F.col(path_col).cast("string").alias("_p"))
-    return rows.mapInPandas(run, "doc_id bigint, n_candidates bigint, n_secrets bigint, secrets array<struct<start:bigint,end:bigint,score:double>>")
+    rows = docs.select(id_or_none(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t"), F.col(path_col).cast("string").alias("_p"))
+    return rows.mapInPandas(run, "doc_id bigint, n_candidates bigint, n_secrets bigint, secrets array<struct<start:bigint,end:bigint,score:double>>").withColumn("doc_id", id_again(F.col("doc_id")))
