@@ -3,10 +3,13 @@
 1. Lines are normalised (lower case, runs of characters other than letters and digits become one space, ends cut off). Equal
    normalised lines are one node, named by a 64-bit hash; two lines of one name, under ten pairs in 10^10 lines, count as
    equal. Lines of under MIN_CHARS normalised characters are left alone.
-2. Each node has a 64-bit SimHash of its character trigrams. Two nodes are candidates if their hashes differ in DISTANCE bits
-   at most: of BLOCKS blocks of bits, BLOCKS - DISTANCE are then equal, and every choice of so many blocks is a key.
-3. Candidates are verified by edit similarity, 1 - edits / longer length, of SIMILARITY at least. A key's nodes are compared
-   with the least of them first, and afterwards with one another only where they are in different groups.
+2. Nodes are candidates by the edit bound alone: lines of similarity SIMILARITY differ by a quarter of the longer's length at
+   most. So lengths are put in bands that grow by 4/3, a band's nodes are dealt into groups of about GROUP, and each group meets
+   the groups of its own band and of the one below. Of a meeting's pairs those go whose lengths or character counts show more
+   edits than the bound; the others are gone through by bit vectors, many pairs at once.
+3. Candidates are verified by edit similarity, 1 - edits / longer length, of SIMILARITY at least. 64-bit SimHashes of the
+   character trigrams say which of a meeting's pairs are compared first, and leave out none; pairs that the meeting has already
+   put in one group are not compared again. The number of pairs grows with the square of the number of distinct lines.
 4. Of each connected group the occurrence in the document of the smallest id, and there the first, stays.
 
 A null text has no lines. Empty and short lines stay. Repeated rows hold repeated lines: rows are told apart by their text,
@@ -16,7 +19,6 @@ rows equal in id and text keep the same lines. A null id comes before all others
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import search, written
 from .components import components
 
 MIN_CHARS = 20
-DISTANCE, BLOCKS = 3, 6
+#: SimHashes of any distance are compared: they order candidates and gate none.
+DISTANCE = 64
 SIMILARITY = 0.75
+#: Nodes of a group; pairs gone through at once; words of 64 characters up to which that is done by bit vectors of numpy.
+GROUP, AT_ONCE, MOST_WORDS = 2000, 8192, 16
+#: Characters are told apart by so many codes until a candidate is verified; merged ones only lower the edits.
+CODES = 64
 #: Trigrams whose bits a worker remembers.
 REMEMBER = 200_000
 LOWEST = -(2**63)
@@ -85,25 +92,118 @@ def edits(a: str, b: str) -> int:
     return out
 
 
+def bound(longer):
+    """The most edits of lines whose longer one has so many characters."""
+    return ((1 - SIMILARITY) * longer + 1e-9) // 1
+
+
 def alike(a: str, b: str) -> bool:
-    longer = max(len(a), len(b))
-    most = int((1 - SIMILARITY) * longer + 1e-9)
+    most = int(bound(max(len(a), len(b))))
     return abs(len(a) - len(b)) <= most and edits(a, b) <= most
 
 
-def block_keys(simhash: Column) -> Column:
-    """A key for every choice of BLOCKS - DISTANCE blocks of the hash's bits."""
-    ends = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    masks = [((1 << ends[k + 1]) - 1) ^ ((1 << ends[k]) - 1) for k in range(BLOCKS)]
-    out = []
-    for n, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(masks[k] for k in chosen)
-        out.append(F.xxhash64(F.lit(n), simhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*out)
+class Codes:
+    """Lines as arrays of character codes, their counts and, when asked for, their bit vectors."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.lines = lines
+        self.n = np.array([len(x) for x in lines], np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.n)))
+        self.flat = (np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32) % CODES).astype(np.int64)
+        owner = np.repeat(np.arange(len(lines)), self.n)
+        self.counts = np.bincount(owner * CODES + self.flat, minlength=len(lines) * CODES).reshape(-1, CODES).astype(np.int32)
+
+    def vectors(self, chosen: np.ndarray, words: int) -> np.ndarray:
+        """By line, code and word: the places of the code in the line."""
+        out = np.zeros((len(chosen), CODES, words), np.uint64)
+        for k, i in enumerate(chosen):
+            c = self.flat[self.at[i] : self.at[i + 1]]
+            p = np.arange(len(c))
+            np.bitwise_or.at(out[k], (c, p >> 6), np.uint64(1) << (p & 63).astype(np.uint64))
+        return out
+
+
+def within(codes: Codes, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the codes of lines a and b can differ in most edits only; many pairs at once by blocks of bit vectors."""
+    out = np.zeros(len(a), bool)
+    chosen, a_at = np.unique(a, return_inverse=True)
+    words = int(-(-codes.n[a].max() // 64))
+    table = codes.vectors(chosen, words)
+    live = np.arange(len(a))
+    top = codes.n[a] - 1
+    more = [np.full(len(a), 2**64 - 1, np.uint64) for _ in range(words)]
+    less = [np.zeros(len(a), np.uint64) for _ in range(words)]
+    score, n, one, last = codes.n[a].copy(), codes.n[b], np.uint64(1), np.uint64(63)
+    for j in range(int(n.max())):
+        if j % 16 == 0:  # those that have ended, and those that the rest cannot bring below the bound, go
+            done = n[live] <= j
+            out[live[done]] = score[done] <= most[live[done]]
+            stay = ~done & (score - (n[live] - j) <= most[live])
+            if not stay.all():
+                live, score = live[stay], score[stay]
+                more, less = [x[stay] for x in more], [x[stay] for x in less]
+            if not len(live):
+                break
+            begins, row, word, bit = codes.at[b[live]], a_at[live], top[live] >> 6, (top[live] & 63).astype(np.uint64)
+            ends = codes.n[b[live]]
+        c = codes.flat[np.minimum(begins + j, len(codes.flat) - 1)]
+        going = ends > j
+        up_in, down_in = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
+        for w in range(words):
+            eq, pv, mv = table[row, c, w], more[w], less[w]
+            xv = eq | mv
+            eq = eq | down_in
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            up, down = mv | ~(xh | pv), pv & xh
+            step = ((up >> bit) & one).astype(np.int64) - ((down >> bit) & one).astype(np.int64)
+            score = score + np.where(going & (word == w), step, 0)
+            up_out, down_out = up >> last, down >> last
+            up, down = up << one | up_in, down << one | down_in
+            more[w], less[w] = down | ~(xv | up), up & xv
+            up_in, down_in = up_out, down_out
+    out[live] = score <= most[live]
+    return out
+
+
+def linked(lines: list[str], bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs of alike lines, one of left and one of right, that join all lines which such pairs join."""
+    codes, a, b, far = Codes(lines), [], [], []
+    same = left is right
+    for i in left:
+        js = right[right > i] if same else right
+        most = bound(np.maximum(codes.n[i], codes.n[js]))
+        gap = np.abs(codes.n[js] - codes.n[i])
+        js, most, gap = js[gap <= most], most[gap <= most], gap[gap <= most]
+        js = js[np.abs(codes.counts[js] - codes.counts[i]).sum(1) + gap <= 2 * most]  # of the characters that one has and the other has not, an edit mends one of each
+        a.append(np.full(len(js), i))
+        b.append(js)
+        far.append(np.bitwise_count(bits[js] ^ bits[i]).astype(np.uint8))
+    a, b, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, far))
+    order = np.argsort(far, kind="stable")
+    a, b = a[order], b[order]
+    a, b = np.where(codes.n[a] <= codes.n[b], a, b), np.where(codes.n[a] <= codes.n[b], b, a)
+    group, out = np.arange(len(lines)), []
+    for lo in range(0, len(a), AT_ONCE):
+        x, y = a[lo : lo + AT_ONCE], b[lo : lo + AT_ONCE]
+        apart = group[x] != group[y]
+        x, y = x[apart], y[apart]
+        short = codes.n[x] <= 64 * MOST_WORDS
+        maybe = ~short
+        if short.any():
+            maybe[short] = within(codes, x[short], y[short], bound(codes.n[y[short]]))
+        for i, j in zip(x[maybe].tolist(), y[maybe].tolist(), strict=True):
+            if group[i] != group[j] and alike(lines[i], lines[j]):
+                group[group == group[j]] = group[i]
+                out.append((i, j))
+    return out
 
 
-def near_bits(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+def bands(upto: int) -> list[int]:
+    """Lower bounds of bands of lengths: a line's partners are in its own band or a neighbouring one."""
+    low = [1]
+    while low[-1] <= upto:
+        low.append(-(-low[-1] * 4 // 3))
+    return low
 
 
 def _simhashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,40 +212,35 @@ def _simhashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": b["node"], "line": b["line"], "bits": np.array([hashes.of(x) for x in b["line"]], np.int64)})
 
 
-def _links(pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b, x, y) whose lines x and y are alike."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            ok = [alike(x, y) for x, y in zip(p["x"], p["y"], strict=True)]
-            yield p.loc[ok, ["a", "b"]]
-
-    return written(pairs.mapInPandas(run, "a bigint, b bigint"), f"links_{name}")
+def _meet(cell: pd.DataFrame) -> pd.DataFrame:
+    lines, node, low = list(cell["line"]), cell["node"].to_numpy(), cell["low"].to_numpy()
+    left = np.flatnonzero(low)
+    right = np.flatnonzero(~low)
+    if not len(right):  # a group with itself
+        right = left
+    pairs = linked(lines, cell["bits"].to_numpy(), left, right)
+    return pd.DataFrame([(node[i], node[j]) for i, j in pairs], columns=["a", "b"], dtype="int64")
 
 
 def line_groups(lines: DataFrame) -> DataFrame:
     """node, label of lines (node, line), a row each: those in a group with others."""
     hashed = written(lines.mapInPandas(_simhashes, "node bigint, line string, bits bigint"), "simhashes")
-    keyed = hashed.select("node", "bits", F.explode(block_keys(F.col("bits"))).alias("key"))
-    by = Window.partitionBy("key")
-    head = F.min(F.struct("node", "bits")).over(by)
-    shared = keyed.withColumn("head", head).withColumn("last", F.max("node").over(by)).filter(F.col("last") != F.col("head")["node"])
-    shared = written(shared.select("key", "node", "bits", F.col("head")["node"].alias("h"), F.col("head")["bits"].alias("hbits")), "shared")
-    texts_a, texts_b = hashed.select(F.col("node").alias("a"), F.col("line").alias("x")), hashed.select(F.col("node").alias("b"), F.col("line").alias("y"))
-    with_text = lambda p: p.join(texts_a, "a").join(texts_b, "b")
-    first = shared.filter((F.col("node") != F.col("h")) & near_bits(F.col("bits"), F.col("hbits"))).select(F.col("node").alias("a"), F.col("h").alias("b")).distinct()
-    links = _links(with_text(first), "first")
-    labels = written(components(links), "labels")
-    # of keys with more than one group: those outside the largest with all others
-    rows = shared.select("key", "node", "bits").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = each.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
-    mixed = rows.join(main, "key")
-    left = mixed.filter("label <> main").select("key", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("bits").alias("bp"))
-    right = mixed.select("key", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("bits").alias("bq"), "main")
-    rest = left.join(right, "key").filter((F.col("lp") != F.col("lq")) & ((F.col("lq") == F.col("main")) | (F.col("p") > F.col("q"))) & near_bits(F.col("bp"), F.col("bq")))
-    rest = rest.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(_links(with_text(rest), "rest"))
+    longest = hashed.agg(F.max(F.length("line"))).first()[0] or 0
+    low = bands(longest)
+    band = search(F.array(*[F.lit(x) for x in low]), len(low), F.length("line"))
+    banded = hashed.withColumn("band", band)
+    counts = dict(banded.groupBy("band").count().collect())  # a number for each band
+    groups = F.array(*[F.lit(-(-counts.get(k, 0) // GROUP)) for k in range(len(low) + 2)])
+    dealt = banded.withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.get(groups, F.col("band")), F.lit(1))).cast("int"))
+    # the meetings of a group: (band, group, band below or own, group); low says which of the two a line is of
+    upto = lambda k: F.when(F.get(groups, k) > 0, F.sequence(F.lit(0), F.get(groups, k) - 1)).otherwise(F.array().cast("array<int>"))
+    meeting = lambda k, i, m, j, low: F.struct(k.alias("k"), i.alias("i"), m.alias("m"), j.alias("j"), low.alias("low"))
+    k, at = F.col("band"), F.col("at")
+    own = F.transform(upto(k), lambda j: meeting(k, F.least(at, j), k, F.greatest(at, j), at <= j))
+    below = F.transform(upto(k - 1), lambda j: meeting(k, at, k - 1, j, F.lit(False)))
+    above = F.transform(upto(k + 1), lambda j: meeting(k + 1, j, k, at, F.lit(True)))
+    cells = dealt.select("node", "line", "bits", F.explode(F.concat(own, below, above)).alias("c")).select("node", "line", "bits", "c.*")
+    links = written(cells.groupBy("k", "i", "m", "j").applyInPandas(_meet, "a bigint, b bigint"), "links")
     return written(components(links), "groups")
 
 

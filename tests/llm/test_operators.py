@@ -432,6 +432,24 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    rng = random.Random(13)
+    lines = [words(rng, rng.choice([6, 12, 30, 80, 400]), 900) for _ in range(12)]
+    for x in lines[:12] * 5:
+        w = x.split()
+        for _ in range(rng.randrange(1, max(2, len(w) // 3))):
+            w[rng.randrange(len(w))] = rng.choice(["é", "other", f"w{rng.randrange(900)}"])
+        lines.append(" ".join(w))
+    label = list(range(len(lines)))
+    for a, b in combinations(range(len(lines)), 2):
+        longer = max(len(lines[a]), len(lines[b]))
+        if label[a] != label[b] and 4 * line_dedup.edits(lines[a], lines[b]) <= longer:
+            label = [label[a] if v == label[b] else v for v in label]
+    first = {v: k for k, v in reversed(list(enumerate(label)))}
+    got = line_dedup.line_dedup(table(spark, list(enumerate(lines)))).collect()
+    assert {r.doc_id for r in got if r.n_kept} == set(first.values()) and 12 <= len(first) < len(lines)
+
+
 def test_edits():
     rng = random.Random(12)
 
