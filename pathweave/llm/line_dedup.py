@@ -2,7 +2,7 @@
 
 1. Lines are normalised (lower case, runs of characters other than letters and digits become one space, ends cut off). Equal
    normalised lines are one node, named by a 64-bit hash; two lines of one name, under ten pairs in 10^10 lines, count as
-   equal. Lines of under MIN_CHARS normalised characters are left alone.
+   equal. Short lines are nodes like others; those of under four characters have only equal partners.
 2. Nodes are candidates by the edit bound alone: lines of similarity SIMILARITY differ by a quarter of the longer's length at
    most. So lengths are put in bands that grow by 4/3, a band's nodes are dealt into groups of about GROUP, and each group meets
    the groups of its own band and of the one below. Of a meeting's pairs those go whose lengths or character counts show more
@@ -12,7 +12,7 @@
    put in one group are not compared again. The number of pairs grows with the square of the number of distinct lines.
 4. Of each connected group the occurrence in the document of the smallest id, and there the first, stays.
 
-A null text has no lines. Empty and short lines stay. Repeated rows hold repeated lines: rows are told apart by their text,
+A null text has no lines. Lines without letters and digits stay. Repeated rows hold repeated lines: rows are told apart by text,
 rows equal in id and text keep the same lines. A null id comes before all others. An empty table gives no rows.
 """
 
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import search, written
 from .components import components
 
-MIN_CHARS = 20
+#: Lines of fewer normalised characters have nothing to compare and stay.
+MIN_CHARS = 1
 #: SimHashes of any distance are compared: they order candidates and gate none.
 DISTANCE = 64
 SIMILARITY = 0.75

@@ -450,6 +450,12 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     assert {r.doc_id for r in got if r.n_kept} == set(first.values()) and 12 <= len(first) < len(lines)
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "All rights reserved.\nof\n\n* * *"), (2, "all rights reserved\nOF\n\n* * *"), (3, "all rights reservd\non\nnew\n中"), (4, "news\n中\nnew")]
+    got = {r.doc_id: list(r.kept_lines) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got == {1: [0, 1, 2, 3], 2: [2, 3], 3: [1, 2, 3], 4: []}  # news has one edit of four characters
+
+
 def test_edits():
     rng = random.Random(12)
 
