@@ -28,7 +28,7 @@ TREES, DEPTH = 30, 8
 SAMPLE, RECALL = 3000, 0.98
 AROUND = 32
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key)[\"']? ?[:=]=? ?[\"']?([^\s\"']{8,200})")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key)[\"']? ?[:=]=? ?[\"']?([^\s\"']{8,})")
 # Words before a candidate that speak for and against a secret, and of paths that speak against one.
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "bearer", "credential", "access")
 AGAINST = ("sha", "md5", "hash", "commit", "checksum", "digest", "uuid", "guid", "version", "revision", "etag", "id", "isbn")
@@ -40,12 +40,14 @@ FEATURES = ("length", "transitions", "digits", "upper", "entropy", "hexadecimal"
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates, by place; of overlapping ones the first, of those with one start the longer."""
+    """Spans of candidates, by place; overlapping ones are one, their union."""
     found = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m[0])] + [m.span(1) for m in _ASSIGNED.finditer(text)]
     out: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+    for s, e in sorted(found):
         if not out or s >= out[-1][1]:
             out.append((s, e))
+        else:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
     return out
 
 

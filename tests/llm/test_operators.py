@@ -361,6 +361,15 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, [])).count() == 0
 
 
+def test_candidates_hold_whole_assigned_values():
+    rng = random.Random(14)
+    part = lambda n: "".join(rng.choice("abcXYZ0189_-") for _ in range(n))
+    jwt = f"{part(200)}.{part(257)}.{part(42)}"
+    assert secrets.candidates(f"token = {jwt} end") == [(8, 509)]
+    assert secrets.candidates(f"secret: {'x!' * 50_000}") == [(8, 100_008)]
+    assert secrets.candidates("a1b2c3d4-token=abcdefgh1234!rest of") == [(0, 32)]  # a run and the value that goes on after it
+
+
 def test_forest_on_examples_it_has_not_seen():
     trees, least = secrets.model()
     rows = secrets.examples(1500, seed=77)
