@@ -263,7 +263,7 @@ def _linked(texts: DataFrame, nodes: DataFrame, clashing: frozenset[int]) -> tup
     nodes = written(nodes, "nodes")
     shared = _shared(texts, clashing, False, "shared")
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("_first"))
-    some = written(_texts_of(texts, wanted), "candidates")
+    some = written(_texts_of(texts, wanted, clashing), "candidates")
     heads = written(shared.filter("node <> head").groupBy("node", "head").agg(F.count("*").alias("keys")), "heads")
     best = heads.groupBy("node").agg(F.max_by("head", F.struct("keys", "head")).alias("head"))
     links = _verified(best.select(F.col("node").alias("a"), F.col("head").alias("b")), some, "best")
@@ -325,8 +325,22 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame | None) -> tu
     return counted.select("a", "b").distinct(), dear
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: of each wanted node, its first document's text. A map of fixed size keeps the others from the shuffle."""
+def _named_texts(clashing: frozenset[int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
+        with np.errstate(over="ignore"):
+            for b in batches:
+                got = [(_name(h, clashing), t) for t in b["_t"] if len(h := shingles.of(t))]
+                yield pd.DataFrame({"node": np.array([n for n, _ in got], np.int64), "text": [t for _, t in got]})
+
+    return run
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """node, text: of each wanted node, a text that makes its set. A map of fixed size keeps most others from the shuffle.
+
+    The map goes by id, which null and repeated ids share; nodes find their texts by the name of the text's own set.
+    """
     place = F.pmod(F.xxhash64("_first"), F.lit(MAP_BITS))
     parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     bits = np.zeros(MAP_BITS // 8 + 4096 * 2, np.uint8)
@@ -341,8 +355,8 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     here = F.pmod(F.xxhash64("_id"), F.lit(MAP_BITS))
     rows = texts.filter(maybe(F.bitmap_bucket_number(here), F.bitmap_bit_position(here)))
-    got = rows.join(wanted, F.col("_id") == F.col("_first"))
-    return got.groupBy("node").agg(F.first("_t").alias("text"))
+    got = rows.select("_t").mapInPandas(_named_texts(clashing), "node bigint, text string")
+    return got.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node"), "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:

@@ -198,6 +198,18 @@ def test_ngram_join_edges(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("3", 1, "3"), ("3", 1, "3"), ("5", 1, "3"), ("8", 1, "8"), ("9", 0, "9"), ("None", 0, "None"), ("None", 1, "3")]
 
 
+def test_ngram_join_of_shared_ids(spark):
+    rng = random.Random(15)
+    texts = [words(rng, 80, 4000) for _ in range(12)]
+    rows = []
+    for k, t in enumerate(texts):  # copies of all texts under no id, and of two texts under one id
+        rows += [(100 + k, t), (None, f"{t} more"), (k // 2, f"some {t}")]
+    got = ngram_join.near_duplicates(table(spark, rows)).collect()
+    want = {k: k // 2 for k in range(12)}
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted([(100 + k, v) for k, v in want.items()] + [(v, v) for v in want.values()])
+    assert sorted(r.component_id for r in got if r.doc_id is None) == sorted(want.values())
+
+
 @pytest.mark.parametrize("deletions", [False, True])
 def test_linked_sets_share_keys(deletions):
     rng = np.random.default_rng(6)
