@@ -55,3 +55,16 @@ def test_pipeline_stages(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     line = lambda df: hashlib.sha256(str(sorted(map(tuple, df.collect()))).encode()).hexdigest()
     assert line(whole) == line(docs)
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, text(0), "a"), (None, text(0) + " more", "a"), (5, text(1), "a"), (None, text(1) + " more", "b"), (7, text(2), "a"), (7, text(3), "b"), (8, text(3) + " more", "c"), (None, text(4), "b"), (9, "", "c")]
+    docs = spark.createDataFrame(rows, documents(spark, sf).select("doc_id", "text", "source").schema)
+    kept = corpus_pipeline.near(spark, docs, sf).collect()
+    assert len([r for r in kept if r.text.startswith(text(0))]) == 1
+    assert sorted((str(r.doc_id), r.text) for r in kept if not r.text.startswith(text(0))) == sorted([("5", text(1)), ("7", text(2)), ("7", text(3)), ("None", text(4)), ("9", "")])
+    some = spark.createDataFrame([(i, f"{s} {k} " + "word " * 5, s) for s in "abc" for k, i in enumerate([None, 1, 1, 2, 3, 4])], docs.schema)
+    want = sorted((str(r.doc_id), r.source, r.copies) for r in corpus_pipeline.mix(some).distinct().collect() if r.copies)
+    taken = corpus_pipeline.mixing(spark, some, sf).groupBy("doc_id", "source", "text").count().collect()
+    assert sorted({(str(r.doc_id), r.source, r["count"]) for r in taken}) == want and len({c for _, _, c in want}) > 1
