@@ -52,10 +52,22 @@ class Words:
 
         self.model = Tokenizer.from_file(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        # special tokens are found before the vocabulary lower-cases: only as they are written
+        self.special = re.compile(b"|".join(re.escape(x.content.encode()) for x in self.model.get_added_tokens_decoder().values()) or rb"(?!)", re.IGNORECASE)
+
+    def pieces(self, text: str | None) -> list[bytes]:
+        """What is between white space, lower-cased, but for pieces that hold a special token in capitals or not."""
+        raw = (text or "").encode()
+        if not self.special.search(raw):
+            return _STOP.sub(rb" \1", raw.lower()).split()
+        out: list[bytes] = []
+        for w in raw.split():
+            out += [w] if self.special.search(w) else _STOP.sub(rb" \1", w.lower()).split()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, the end token not included."""
-        pieces = [_STOP.sub(rb" \1", (t or "").encode().lower()).split() for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = list(set().union(*pieces).difference(self.known))

@@ -135,6 +135,15 @@ def test_tokens_of_any_text_are_the_vocabularys():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_tokens_are_case_sensitive():
+    from tokenizers import Tokenizer
+
+    model, memo = Tokenizer.from_file(vocabulary()), packing.Words(vocabulary())
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "Some <|EndOfText|>BAR. Foo, baz.", "x<|endoftext|>Y<|StartOfText|>. A.\nB", "<|startoftext|> É. <|ENDOFTEXT|>,"]
+    for t, ids in zip(texts, memo.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_hilbert_is_a_path():
     cells = np.array([[a, b, c] for a in range(4) for b in range(4) for c in range(4)])
     at = packing.hilbert(cells, 2)
