@@ -354,6 +354,12 @@ def test_personal_data_that_is_added(spark):
     assert {r.doc_id: r.r for r in found.collect()}[0] == "please call <phone> now"
 
 
+def test_spelt_out_addresses_in_capitals_are_added(spark):
+    texts = ["mail me at jo.smith (AT) example (DOT) com ok", "MAIL ME AT JO.SMITH [AT] EXAMPLE [DOT] COM OK"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(table(spark, list(enumerate(texts))))).collect()}
+    assert got == {0: "email:11:42", 1: "email:11:42"}
+
+
 def test_sql_features_equal_those_of_training(spark):
     rows = pii.examples(200)
     df = spark.createDataFrame([r[:4] for r in rows], "kind string, m string, b string, a string")
