@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,27 +19,52 @@ _OWN: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _OWN.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="pathweave-")
+        if not _OWN[spark.sparkContext.applicationId]:
+            atexit.register(shutil.rmtree, at, True)
         _OWN[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    with suppress(Exception):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+class Scratch:
+    """Tables that cut lineage, Parquet files in one folder of the shared folder. The folder goes at the end of a with block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.at = spark, f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        with suppress(Exception):  # at the driver's end the session may be gone
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.path}/{uuid.uuid4().hex[:8]}-{name}"
+        self.at[name] = path
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        for name in names:
+            self._delete(self.at.pop(name))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    scratch = Scratch(df.sparkSession)
+    atexit.register(scratch.__exit__)
+    return scratch.written(df, name)
 
 
 #: Stands for a null id on the way through pandas, whose numbers beside nulls lose digits. It is no id of its own.

@@ -222,18 +222,33 @@ def test_ngram_join_of_shared_ids(spark):
 @pytest.mark.parametrize("deletions", [False, True])
 def test_linked_sets_share_keys(deletions):
     rng = np.random.default_rng(6)
+
+    def index(h):
+        """By band: whether it is the set's own, and its keys with their segments, of which some are whole."""
+        for k, most in ngram_join.index_bands(h):
+            own = k == ngram_join.band_of(len(h))[0]
+            if deletions:
+                yield k, own, [dict(zip(key.tolist(), seg.tolist(), strict=True)) for key, seg, _ in [ngram_join.deletion_keys(h, k)]][0], set(ngram_join.deletion_keys(h, k)[0][ngram_join.deletion_keys(h, k)[2]].tolist())
+            else:
+                key = ngram_join.keys(h, k, most + ngram_join.common(k)).tolist()
+                yield k, own, {x: x for x in key}, set(key)
+
+    links = 0
     with np.errstate(over="ignore"):
-        for _ in range(400):
-            n = int(rng.integers(1, 200))
+        for _ in range(600):
+            n = int(rng.integers(1, 300))
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             y = x[rng.random(len(x)) > rng.choice([0.05, 0.12, 0.2])]
             y = np.unique(np.concatenate([y, rng.integers(0, 2**63, rng.integers(0, max(1, n // 7) + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
             if len(y) and 4 * both >= 3 * (len(x) + len(y) - both):
-                a, b = ([(set(k.tolist()), own) for k, own in ngram_join.index_keys(s, deletions)] for s in (x, y))
-                shared = max((len(k & m), max(k & m, default=0)) for k, o in a for m, p in b if o or p)
-                need = 1 if deletions else ngram_join.common(shared[1] & 127)
-                assert shared[0] >= need
+                links += 1
+                shared = [(k, {p[c] for c in p.keys() & q.keys() if c in u or c in v}) for k, o, p, u in index(x) for m, r, q, v in index(y) if k == m and (o or r)]
+                assert any(len(s) >= ngram_join.common(k) for k, s in shared)
+                kx, ky = (ngram_join.band_of(len(s))[0] for s in (x, y))
+                unlike = int(np.bitwise_count((ngram_join.parity_maps(x)[kx > ky] ^ ngram_join.parity_maps(y)[ky > kx]).view(np.uint64)).sum())
+                assert abs(kx - ky) <= 1 and unlike <= len(x) + len(y) - 2 * both
+    assert links > 100
 
 
 def test_components(spark):
