@@ -12,7 +12,7 @@
 4. Where a segment would give more pairs than indexing its nodes anew costs, its nodes are joined by fewer, larger segments
    and their one-deletion neighbourhoods: two linked sets differ by at most one hash in several of these, so that a whole
    segment of one is a whole segment of the other or lacks one hash of it. A key is met only where one side is whole.
-5. A parity map has, for each of 4 H buckets of hashes or more, whether the set holds an odd number of them. Two maps differ
+5. A parity map has, for each of 8 H buckets of hashes or more, whether the set holds an odd number of them. Two maps differ
    in no more bits than the sets differ in hashes, so a pair whose maps differ in more than a link allows is none: such pairs
    leave within the join that meets them. Every other candidate is verified on the whole sets: 100 * intersection >= 75 * union.
 
@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_again, id_or_none, written
@@ -47,7 +47,9 @@ COMMON = 10
 #: Pairs of a key, for each shingle of its nodes, from which on a new index of the nodes is cheaper.
 DEAR = 4
 #: Least bits of a parity map, and bits for each difference that a link allows.
-MAP_LEAST, MAP_EACH = 256, 4
+MAP_LEAST, MAP_EACH = 256, 8
+#: Nodes of a key's largest component that others are compared with first, and how many of all those.
+HEADS, TRIED = 8, 4
 #: Low bits of a key that hold its band.
 BAND_BITS = 7
 #: Bits of the filter that spares documents without candidates the shuffle of texts; a full one lets all through.
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each row of docs: doc_id, n_shingles, component_id. A written table, for which all others made on the way go."""
     texts = docs.select(id_or_none(F.col(id_col)).alias("_id"), F.col(text_col).alias("_t"))
     with Scratch(docs.sparkSession) as tmp:
-        rows, clashing = _indexed(texts, frozenset(), tmp), frozenset()
+        rows = _indexed(texts, frozenset(), tmp)
         sets = _sets(rows)
         clash = sets.filter("n > 0").groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").select("node")
         if clashing := frozenset(r[0] for r in clash.collect()):  # different sets with one 57-bit name: about one in 10^8 documents
@@ -325,13 +327,17 @@ def common_of(k: Column) -> Column:
     return F.get(F.array(*[F.lit(common(b)) for b in range(64)]), k)
 
 
-def _with_enough(rows: DataFrame, segment: Column) -> DataFrame:
-    """The rows (key, node, ...) of nodes that share keys of common() segments of a band."""
-    place = Window.partitionBy("node", "_band")
-    rows = rows.withColumn("_band", band(F.col("key"))).withColumn("_segments", F.size(F.collect_set(segment).over(place)) if segment is not None else F.count("*").over(place))
+def _with_enough(rows: DataFrame, segments: Column) -> DataFrame:
+    """The rows (key, node, ...) of nodes that share keys of common() segments of a band; segments count them over _place."""
+    rows = rows.withColumn("_band", band(F.col("key"))).withColumn("_segments", segments)
     return rows.filter(F.col("_segments") >= common_of(F.col("_band"))).drop("_band", "_segments")
 
 
+def _of_node() -> WindowSpec:
+    """A node's rows of one band."""
+    return Window.partitionBy("node", "_band")
+
+
 def _unlike(x: Column, y: Column) -> Column:
     """Bits in which two parity maps differ: at most the hashes in which their sets do."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
@@ -343,7 +349,7 @@ def _may_link(nx: Column, ny: Column, x: Column, y: Column) -> Column:
 
 def _linked(texts: DataFrame, nodes: DataFrame, rows: DataFrame, clashing: frozenset[int], tmp: Scratch) -> DataFrame:
     """node, label of the nodes that have links."""
-    shared = tmp.written(_with_enough(rows.filter("about IS NULL").select("key", "node", "head"), None), "shared")
+    shared = tmp.written(_with_enough(rows.filter("about IS NULL").select("key", "node", "head"), F.count("*").over(_of_node())), "shared")
     wanted = shared.select("node").distinct()
     maps = rows.filter("about.own IS NOT NULL").select("node", "about.n", "about.own", "about.below").join(wanted, "node", "left_semi")
     maps = tmp.written(maps.groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("below").alias("below")), "maps")
@@ -361,15 +367,21 @@ def _linked(texts: DataFrame, nodes: DataFrame, rows: DataFrame, clashing: froze
     pairs = tmp.written(pairs, "pairs")
     again = some.join(dear.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_semi").select("text")
     refined = tmp.written(_refined(again, clashing), "refined")
+    near = tmp.written(_to_heads(refined, labels, maps), "near_heads")
+    links = links.union(_verified(near, some, None, tmp, "near"))
+    labels = components(links, into=tmp)
     anew, _ = _across(refined, labels, maps, None)
-    known = heads.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+    known = heads.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).union(near).distinct()
     rest = pairs.union(anew).distinct().join(known, ["a", "b"], "left_anti")
     links = links.union(_verified(rest, some, None, tmp, "rest"))
     return components(links, into=tmp)
 
 
 def _refined(texts: DataFrame, clashing: frozenset[int]) -> DataFrame:
-    """key, node, whole: the keys of large segments and their one-deletion neighbours that two nodes share, a whole segment of one."""
+    """key, node, segment, whole, earlier: the keys of large segments and their one-deletion neighbours that two nodes share, a whole segment of one.
+
+    earlier holds the node's whole keys of earlier segments: two nodes that have one in common have met there already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -389,7 +401,28 @@ def _refined(texts: DataFrame, clashing: frozenset[int]) -> DataFrame:
     by = Window.partitionBy("key")
     own = is_own("key", "node")
     rows = rows.select("*", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi"), F.max("whole").over(by).alias("some"), F.max(own).over(by).alias("mine")).filter("lo <> hi AND some AND mine")
-    return _with_enough(rows.select("key", "node", "segment", "whole"), F.col("segment")).select("key", "node", "whole")
+    rows = rows.select("key", "node", "segment", "whole").withColumn("_band", band(F.col("key")))
+    earlier = _of_node().orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("earlier", F.collect_list(F.when(F.col("whole"), F.col("key"))).over(earlier))
+    return _with_enough(rows, F.size(F.collect_set("segment").over(_of_node())))
+
+
+def _to_heads(refined: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a > b) of nodes outside a key's largest component with nodes of it: with the TRIED nearest, by parity maps, of each key's HEADS.
+
+    They spare most nodes of a dense group, whose links to the least nodes failed, a comparison with all of the group; the
+    rest follows, so that no link hangs on them.
+    """
+    rows = refined.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("parts"))
+    rows = rows.join(sizes.filter("parts > 1").drop("parts"), "key").join(maps, "node")
+    rows = rows.select("key", "node", "label", "main", "n", F.when(is_own("key", "node"), F.col("own")).otherwise(F.col("below")).alias("map"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    heads = rows.filter("label = main").withColumn("_place", place).filter(F.col("_place") <= HEADS).select("key", F.col("node").alias("head"), F.col("n").alias("n_y"), F.col("map").alias("map_y"))
+    met = rows.filter("label <> main").join(heads, "key").filter(_may_link(F.col("n"), F.col("n_y"), F.col("map"), F.col("map_y")))
+    best = met.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(_unlike(F.col("map"), F.col("map_y")).alias("d"), "head"))).alias("heads"))  # HEADS for each of a node's keys at most
+    best = best.select("node", F.explode(F.slice("heads", 1, TRIED)).alias("h")).select("node", "h.head")
+    return best.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -407,13 +440,15 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, tmp: Scratch
     the many. A key is dear that would compare more pairs than a new index of its nodes costs; with whole (a new index), none is.
     """
     refined = "whole" in shared.columns
-    whole = F.col("whole") if refined else F.lit(True)
-    rows = shared.select("key", "node", whole.alias("whole")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"), *[F.sum(F.xxhash64(F.lit(k), "node", "whole").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    if not refined:
+        shared = shared.select("key", "node", F.lit(0).alias("segment"), F.lit(True).alias("whole"), F.lit(None).cast("array<bigint>").alias("earlier"))
+    rows = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("segment").alias("segment"), *[F.sum(F.xxhash64(F.lit(k), "node", "whole").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
     by_key = each.groupBy("key").agg(
-        F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")
+        F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("parts"), F.min("segment").alias("segment"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")
     )
-    by_key = by_key.filter("parts > 1").groupBy(band(F.col("key")), "h1", "h2", "all").agg(F.min("key").alias("key"), F.first("main").alias("main"), F.first("most").alias("most"), F.count("*").alias("times"))
+    by_key = by_key.filter("parts > 1").groupBy(band(F.col("key")), "h1", "h2", "all").agg(F.min(F.struct("segment", "key", "main", "most")).alias("one"), F.count("*").alias("times"))
+    by_key = by_key.select("one.key", "one.main", "one.most", "all", "times")  # of the first segment: a pair is taken where it meets first
     by_key = by_key.select("key", "main", "times", ((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"))
     few, dear = rows.join(by_key, "key"), None
     if not refined:
@@ -424,10 +459,11 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, tmp: Scratch
         too = tmp.written(cost.filter(F.col("pairs") > F.lit(DEAR) * F.col("rows")).select("key"), "too_dear")
         few = mixed.join(too, "key", "left_anti")
         dear = tmp.written(mixed.join(too, "key", "left_semi").select("node").distinct(), "dear")
-    few = few.join(maps, "node").select("key", "node", "label", "whole", "main", "times", "n", is_own("key", "node").alias("own"), F.when(is_own("key", "node"), F.col("own")).otherwise(F.col("below")).alias("map"))
-    left = few.filter("label <> main").select("key", "times", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "own", "whole", "n", "map")])
-    right = few.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "own", "whole", "n", "map")])
-    meet = F.expr("label_x <> label_y AND (own_x OR own_y) AND (whole_x OR whole_y) AND (label_y = main OR node_x > node_y)")
+    few = few.join(maps, "node").select("key", "node", "label", "whole", "earlier", "main", "times", "n", is_own("key", "node").alias("own"), F.when(is_own("key", "node"), F.col("own")).otherwise(F.col("below")).alias("map"))
+    sides = ("node", "label", "own", "whole", "earlier", "n", "map")
+    left = few.filter("label <> main").select("key", "times", *[F.col(c).alias(f"{c}_x") for c in sides])
+    right = few.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in sides])
+    meet = F.expr("label_x <> label_y AND (own_x OR own_y) AND (whole_x OR whole_y) AND (label_y = main OR node_x > node_y)" + " AND NOT arrays_overlap(earlier_x, earlier_y)" * refined)
     pairs = left.join(right, "key").filter(meet & _may_link(F.col("n_x"), F.col("n_y"), F.col("map_x"), F.col("map_y")))
     pairs = pairs.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), band(F.col("key")).alias("band"), "times")
     if not refined:
