@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Sequence
 from contextlib import suppress
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,28 @@ def id_again(col: Column) -> Column:
     return F.when(col != NO_ID, col)
 
 
+#: Bits of the filter that spares rows without a partner a shuffle; a full one lets all through.
+FILTER_BITS = 1 << 23
+
+
+def perhaps_in(value: Column, wanted: DataFrame, of: Column) -> Column:
+    """Whether a value may be among those of wanted: true for each that is. By a filter of FILTER_BITS, whatever the size of wanted."""
+    place = F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
+    parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8 + 4096 * 2, np.uint8)
+    for r in parts.collect():  # FILTER_BITS / 8 bytes in all
+        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    one = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(bucket: pd.Series, position: pd.Series) -> pd.Series:
+        at = bucket.to_numpy() * 4096 + position.to_numpy() // 8
+        return pd.Series((one.value[at] >> (position.to_numpy() % 8) & 1).astype(bool))
+
+    here = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+    return maybe(F.bitmap_bucket_number(here), F.bitmap_bit_position(here))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_again, id_or_none, written
+from .common import Scratch, id_again, id_or_none, perhaps_in, written
 from .components import components
 
 WORDS = 5
@@ -52,8 +52,6 @@ MAP_LEAST, MAP_EACH = 256, 8
 HEADS, TRIED = 8, 4
 #: Low bits of a key that hold its band.
 BAND_BITS = 7
-#: Bits of the filter that spares documents without candidates the shuffle of texts; a full one lets all through.
-FILTER_BITS = 1 << 23
 #: Words a worker remembers, documents it handles at once, nodes a task remembers to have indexed.
 REMEMBER, AT_ONCE, INDEXED = 400_000, 500, 200_000
 _U = np.uint64
@@ -484,24 +482,11 @@ def _named_texts(clashing: frozenset[int]):
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame, clashing: frozenset[int]) -> DataFrame:
-    """node, text: of each wanted node, a text that makes its set. A filter of fixed size keeps most others from the shuffle.
+    """node, text: of each wanted node, a text that makes its set. A filter by id keeps most others from the shuffle.
 
-    The filter goes by id, which null and repeated ids share; nodes find their texts by the name of the text's own set.
+    Null and repeated ids share a place in it; nodes find their texts by the name of the text's own set.
     """
-    place = F.pmod(F.xxhash64("_first"), F.lit(FILTER_BITS))
-    parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 4096 * 2, np.uint8)
-    for r in parts.collect():
-        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    one = texts.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
-
-    @F.pandas_udf("boolean")
-    def maybe(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        at = bucket.to_numpy() * 4096 + position.to_numpy() // 8
-        return pd.Series((one.value[at] >> (position.to_numpy() % 8) & 1).astype(bool))
-
-    here = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
-    rows = texts.filter(maybe(F.bitmap_bucket_number(here), F.bitmap_bit_position(here)))
+    rows = texts.filter(perhaps_in(F.col("_id"), wanted, F.col("_first")))
     got = rows.select("_t").mapInPandas(_named_texts(clashing), "node bigint, text string")
     return got.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node"), "node", "left_semi")
 
