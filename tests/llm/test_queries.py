@@ -1,11 +1,13 @@
 """Registered queries against their SQL on the smallest tables, and the pipeline against its stages by hand."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
+from pathweave.llm.common import written
 from pathweave.llm.queries import ORACLE_SQL, QUERIES, documents
 
 from .test_operators import brute_components, fill
@@ -34,7 +36,7 @@ def test_pipeline_stages(spark, sf):
     rows = {"start": [(r.doc_id, r.text, r.source) for r in docs.collect()]}
     for name, stage in corpus_pipeline.STAGES:
         columns = docs.columns
-        docs = corpus_pipeline.written(stage(spark, docs, sf), name)
+        docs = written(stage(spark, docs, sf), name)
         if name != "packing":
             assert docs.columns == columns
             rows[name] = [(r.doc_id, r.text, r.source) for r in docs.collect()]
@@ -68,3 +70,25 @@ def test_pipeline_with_null_and_repeated_ids(spark, sf):
     want = sorted((str(r.doc_id), r.source, r.copies) for r in corpus_pipeline.mix(some).distinct().collect() if r.copies)
     taken = corpus_pipeline.mixing(spark, some, sf).groupBy("doc_id", "source", "text").count().collect()
     assert sorted({(str(r.doc_id), r.source, r["count"]) for r in taken}) == want and len({c for _, _, c in want}) > 1
+
+
+def test_pipeline_with_clashing_columns_long_texts_ties_and_an_empty_table(spark, sf):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join(rng.choice(["the", "of", "and", "house", "river", "thing", "over"]) + rng.choice(["", "s", "ing", "ed"]) + str(rng.randrange(40)) for _ in range(n))
+
+    names = ("kept", "copies", "_copy", "keep_id", "group_size", "text_sha256", "_key", "_text", "_doc", "_id", "size", "component_id", "_takes")
+    base = [(1, text(1), "a"), (2, text(1), "b"), (2, text(1), "b"), (3, text(2), "a"), (4, text(2) + " more", "a"), (None, text(3), None), (None, text(3), None), (6, text(4, 60_000), "b"), (7, None, "a"), (8, "", "a")]
+    docs = spark.createDataFrame([(*r, *[f"{r[0]}{n}" for n in names]) for r in base], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    kept = corpus_pipeline.exact(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "6", "8", "None"]
+    near = corpus_pipeline.near(spark, written(kept, "kept"), sf)
+    assert near.columns == docs.columns
+    rows = near.collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["2", "3", "6", "8", "None"] and all(r[n] == f"{r.doc_id}{n}" for r in rows for n in names)
+    mixed = corpus_pipeline.mixing(spark, written(near, "near"), sf)
+    assert mixed.columns == docs.columns and {str(r.doc_id) for r in mixed.collect()} <= {str(r.doc_id) for r in rows}
+    empty = docs.limit(0)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixing, corpus_pipeline.packing):
+        assert stage(spark, empty, sf).count() == 0
