@@ -1,7 +1,10 @@
 """A training corpus from documents: language, exact duplicates, near duplicates, source weights, packed sequences.
 
 Each stage works on all that the one before it kept. run() writes each stage's rows to the shared folder and reads them for
-the next. Null texts and texts without letters go in the first stage, so that later stages hold documents of some words.
+the next; what is read no more goes. Null texts and texts without letters go in the first stage, so that later stages hold
+documents of some words. Other columns stay as they are, whatever their names: each stage packs a row before it adds its own.
+Ids may be null or repeated: decisions are for rows, and for source and id in the mixing. Ties go by id, then by row hash. An
+empty table gives an empty one after each stage. Texts of any length are whole in all stages, and cut in the last alone.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import written
+from pathweave.llm.common import Scratch, written
 from pathweave.llm.exact_dedup import exact_dedup
 from pathweave.llm.language_id import UNKNOWN, held_out, learn, predict
 from pathweave.llm.mixing import mix
@@ -29,9 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    return exact_dedup(docs, carry=others).filter("kept").select(*docs.columns)
+    """One document of each group of equal texts: the one with the largest id, null ids last; of rows equal in id too, one."""
+    return exact_dedup(docs.select("doc_id", "text", F.struct("*").alias("_doc")), carry=["_doc"]).filter("kept").select("_doc.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +42,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a 64-bit hash of their columns, for ids may be null or repeated; the stage before leaves no two
     equal rows. Two of 10^8 rows have one hash with a chance of under 1 in 1000.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    found = near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    keyed = docs.select("doc_id", F.col("text").alias("_text"), F.xxhash64(*docs.columns).alias("_key"), F.struct("*").alias("_doc"))
+    found = near_duplicates(keyed, id_col="_key", text_col="_text").select(F.col("doc_id").alias("_key"), "component_id")
     heads = keyed.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("_at")).join(found, "_key").groupBy("component_id").agg(F.min("_at").alias("_at"))
-    return keyed.join(heads.select(F.col("_at")["_key"].alias("_key")), "_key", "left_semi").select(*docs.columns)
+    return keyed.join(heads.select(F.col("_at")["_key"].alias("_key")), "_key", "left_semi").select("_doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +53,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     How often follows from source and id, so that rows equal in both, null or not, are taken alike.
     """
-    takes = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_takes"), F.col("source").alias("_of"), "copies").distinct()
-    taken = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_takes"]) & docs["source"].eqNullSafe(takes["_of"]))
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    takes = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_takes"), F.col("source").alias("_of"), F.col("copies").alias("_copies")).distinct()
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.struct("*").alias("_doc"))
+    taken = rows.join(takes, F.col("_id").eqNullSafe(F.col("_takes")) & F.col("_source").eqNullSafe(F.col("_of")))
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
+    with Scratch(spark) as tmp:
+        before = None
+        for name, stage in STAGES:
+            last = name == STAGES[-1][0]
+            docs = written(stage(spark, docs, sf_dir), name) if last else tmp.written(stage(spark, docs, sf_dir), name)
+            if before:
+                tmp.remove(before)
+            before = name
     return docs
