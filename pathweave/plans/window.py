@@ -89,6 +89,26 @@ def nearest_column(ts: Column, first: Column, step: str, n: int) -> Column:
     return F.array_min(F.transform(every, lambda c: F.struct(away(c).alias("away"), c.alias("at"))))["at"]
 
 
+def _steps(start: Column, first: int, last: Column, seconds: int) -> Column:
+    return F.transform(F.sequence(F.lit(first), last), lambda i: F.timestamp_add("SECOND", i * seconds, start))
+
+
+def _whole(start: Column, end: Column, seconds: int) -> Column:
+    """The whole steps between two times."""
+    return F.floor(F.timestamp_diff("SECOND", start, end) / seconds).cast("int")
+
+
+def ticks_column(start: Column, end: Column, seconds: int) -> Column:
+    """ticks() of columns: an array."""
+    return _steps(start, -1, _whole(start, end, seconds) + 2, seconds)
+
+
+def labels_column(start: Column, end: Column, interval: int) -> Column:
+    """snapshot_labels() of columns: an array, empty for a window shorter than the interval."""
+    n = _whole(start, end, interval)
+    return F.when(n > 0, _steps(start, 1, n, interval)).otherwise(F.array().cast("array<timestamp_ntz>"))
+
+
 def nearest_rib(ts: Column, ris: bool) -> Column:
     first = (F.date_trunc("day", ts).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
     return nearest_column(ts, first, "8 HOURS" if ris else "2 HOURS", 10 if ris else 50)

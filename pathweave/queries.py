@@ -62,8 +62,9 @@ def query(sql: str | None):
     return register
 
 
-def _multi(upto: int | None = None) -> str:
+def _multi(upto: int | None = None, peer: str | None = None) -> str:
     where = "" if upto is None else f"WHERE file_label <= {upto}"
+    where += "" if peer is None else f" AND peer_ip = '{peer}'"
     return f"SELECT fam, u, v, rc, peer_ip, CAST(sum(d) AS BIGINT) AS n FROM ed {where} GROUP BY ALL HAVING sum(d) > 0"
 
 
@@ -309,8 +310,8 @@ def _edges(upto: int) -> str:
     return f"SELECT fam, u, v, CAST(sum(n) AS BIGINT) AS n FROM ({_multi(upto)}) GROUP BY ALL"
 
 
-def _nodes(upto: int) -> str:
-    return f"SELECT DISTINCT fam, unnest([u, v]) AS node FROM ({_multi(upto)})"
+def _nodes(upto: int, peer: str | None = None) -> str:
+    return f"SELECT DISTINCT fam, unnest([u, v]) AS node FROM ({_multi(upto, peer)})"
 
 
 @query(
@@ -321,9 +322,14 @@ def graph_diff_edges(spark, d):
     return AsGraph("graph").compare(*_graphs(spark, d))
 
 
-@query(f"SELECT fam, node, 'added' AS status FROM ({_nodes(LAST)} EXCEPT {_nodes(EARLIER)}) UNION ALL SELECT fam, node, 'removed' FROM ({_nodes(EARLIER)} EXCEPT {_nodes(LAST)})")
+_OF_ONE = _nodes(-1, PEERS[0])
+
+
+@query(f"SELECT fam, node, 'added' AS status FROM ({_nodes(LAST)} EXCEPT {_OF_ONE}) UNION ALL SELECT fam, node, 'removed' FROM ({_OF_ONE} EXCEPT {_nodes(LAST)})")
 def graph_diff_nodes(spark, d):
-    return compare.node_diff(*_graphs(spark, d))
+    """The graph of one peer's dump against that of all at the end."""
+    f, g = Feed(spark, d), AsGraph("graph")
+    return compare.node_diff(g.now(f.transitions.filter(F.col("peer_ip") == PEERS[0]), -1), g.now(f.transitions, LAST))
 
 
 @query(
@@ -389,21 +395,32 @@ def nearest_update(spark, d):
     return _requests(spark, d).select("o_orderkey", "ts", window.nearest_update(F.col("ts")).alias("nearest"))
 
 
-_WINDOW = (_time("2010-09-01 00:00:00"), _time("2010-09-01 02:00:00"))
+@query(_near("date_trunc('day', ts) - INTERVAL 1 DAY", "2 HOUR", 50))
+def nearest_rib_of_two_hours(spark, d):
+    return _requests(spark, d).select("o_orderkey", "ts", window.nearest_rib(F.col("ts"), False).alias("nearest"))
+
+
+def _windows(spark, d) -> DataFrame:
+    """A window of two hours for each date of orders."""
+    begins = F.col("o_orderdate").cast("timestamp_ntz")
+    return spark.read.parquet(f"{d}/orders.parquet").select(begins.alias("begins"), (begins + F.expr("INTERVAL 2 HOURS")).alias("ends")).distinct()
+
+
+_BEGINS = "WITH w AS (SELECT DISTINCT o_orderdate AS begins FROM orders)"
 
 
 @query(
-    """WITH t AS (SELECT 'RIS' AS project, TIMESTAMP '2010-09-01' + INTERVAL 5 MINUTE * i AS tick FROM range(-1, 27) r(i)
- UNION ALL SELECT 'RV', TIMESTAMP '2010-09-01' + INTERVAL 15 MINUTE * i FROM range(-1, 11) r(i)) SELECT * FROM t"""
+    f"""{_BEGINS} SELECT begins, 'RIS' AS project, begins + INTERVAL 5 MINUTE * i AS tick FROM w, range(-1, 27) r(i)
+ UNION ALL SELECT begins, 'RV', begins + INTERVAL 15 MINUTE * i FROM w, range(-1, 11) r(i)"""
 )
 def update_ticks(spark, d):
-    rows = [(p, t) for p, s in (("RIS", 300), ("RV", 900)) for t in window.ticks(*_WINDOW, s)]
-    return spark.createDataFrame(rows, "project string, tick timestamp_ntz")
+    ticks = [F.struct(F.lit(p).alias("project"), window.ticks_column(F.col("begins"), F.col("ends"), s).alias("ticks")) for p, s in (("RIS", 300), ("RV", 900))]
+    return _windows(spark, d).select("begins", F.explode(F.array(*ticks)).alias("p")).select("begins", "p.project", F.explode("p.ticks").alias("tick"))
 
 
-@query("WITH t AS (SELECT TIMESTAMP '2010-09-01' + INTERVAL 15 MINUTE * i AS label FROM range(1, 9) r(i)) SELECT * FROM t")
+@query(f"{_BEGINS} SELECT begins, begins + INTERVAL 15 MINUTE * i AS label FROM w, range(1, 9) r(i)")
 def dump_labels(spark, d):
-    return spark.createDataFrame([(t,) for t in window.snapshot_labels(*_WINDOW, 900)], "label timestamp_ntz")
+    return _windows(spark, d).select("begins", F.explode(window.labels_column(F.col("begins"), F.col("ends"), 900)).alias("label"))
 
 
 @query(f"SELECT fam, CAST(u AS VARCHAR) || ',' || CAST(v AS VARCHAR) || ',' || CAST(mean_paths AS VARCHAR) || ',' || CAST(peers_count AS VARCHAR) AS line FROM ({_GRAPH})")
@@ -418,7 +435,10 @@ def path_json_rows(spark, d):
     return o.lines(o.now(Feed(spark, d).transitions))
 
 
-@query(None)
+@query(
+    """SELECT rc, peer_ip, pfx, count(*) FILTER (before <> hop) AS changes
+FROM (SELECT *, path[2] AS hop, lag(path[2]) OVER (PARTITION BY rc, peer_ip, pfx ORDER BY file_label, line_no) AS before FROM tr) GROUP BY ALL"""
+)
 def custom_observer_replay(spark, d):
     """An observer in Python: how often each key changed its first hop after the peer."""
 

@@ -1,4 +1,7 @@
-"""Landing of archive files in a folder: each address is fetched once and then found there."""
+"""Landing of archive files in a folder: each address is fetched once and then found there.
+
+The driver fetches. On a cluster the folder must be a mounted one that all executors share, or be copied to a store before the run.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,8 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 FETCHERS = 10
 
 
@@ -43,6 +48,13 @@ def land(urls: Iterable[str], folder: str, *, strict: bool = True, opener=urllib
         return [x for x in pool.map(one, urls) if x]
 
 
+def present(spark: SparkSession, paths: Iterable[str]) -> set[str]:
+    """Those of the paths where a file is, in any store that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = [(p, jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    return {p for p, path in at if path.getFileSystem(conf).exists(path)}
+
+
 def statistics(landed: Iterable[Landed]) -> dict[str, float]:
     """GB in all and GB that were there before."""
     landed = list(landed)

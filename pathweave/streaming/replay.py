@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,16 +17,16 @@ OUT = "rc string, peer_ip string, pfx string, fam int, file_label {label}, line_
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values(["file_label", "line_no"], kind="stable")
-    path = list(state.get[0]) if state.exists and state.get[0] is not None else None
-    out = []
-    for r in rows.itertuples(index=False):
-        new = None if r.path is None else [int(x) for x in r.path]
-        kind = "B" if r.src == "B" else "A" if new is not None else "W" if path is not None else None
-        if kind:
-            out.append((*key, r.fam, r.file_label, r.line_no, new, path, kind))
-        path = new
-    state.update((path,))
-    yield pd.DataFrame(out, columns=["rc", "peer_ip", "pfx", "fam", "file_label", "line_no", "path", "prev", "kind"])
+    last = list(state.get[0]) if state.exists and state.get[0] is not None else None
+    path = [None if p is None else list(p) for p in rows["path"]]
+    prev = [last, *path[:-1]]
+    to, of = (np.array([p is not None for p in column]) for column in (path, prev))
+    kind = np.select([rows["src"] == "B", to, of], ["B", "A", "W"], "")
+    state.update((path[-1],))
+    out = rows[["fam", "file_label", "line_no"]].assign(path=path, prev=prev, kind=kind)
+    for place, (name, value) in enumerate(zip(("rc", "peer_ip", "pfx"), key, strict=True)):
+        out.insert(place, name, value)
+    yield out[kind != ""]
 
 
 def transitions_stream(log: DataFrame) -> DataFrame:

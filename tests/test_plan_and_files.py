@@ -1,9 +1,11 @@
 """File planning, reading decoded files and whole runs."""
 
+import bz2
+import dataclasses
 import gzip
 import json
 import os
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,8 +90,9 @@ def test_whole_run(spark, tmp_path):
             at = ts.timestamp() - datetime(1970, 1, 1).timestamp()
             rows = [f"BGP4MP|{at + 1}|A|p|1|10.0.0.0/8|1 3|IGP|n|0|0||NAG||"] if ts == datetime(2010, 9, 1, 1) else [f"BGP4MP|{at}|STATE|p|1|6|1"]
         open(where(url), "w").write("\n".join(rows) + "\n")
-    run = from_files(spark, config, where)
+    run = from_files(spark, config, where, feed=str(tmp_path / "feed"))
     run.write(default_observers())
+    assert all(r.present for r in run.coverage.collect()) and {(r.kind, r.bad) for r in run.bad_lines.collect()} == {("rib", 0), ("update", 0)}
     out = tmp_path / "out/processed/run"
     assert (out / "graph_ipv4.20100901.0000.csv").read_text() == "#origin,destination,paths_count,peers_count\n1,2,1.0,1\n2,3,1.0,1\n"
     assert (out / "graph_ipv4.20100901.0100.csv").read_text() == "#origin,destination,paths_count,peers_count\n1,3,1.0,1\n"
@@ -97,10 +100,33 @@ def test_whole_run(spark, tmp_path):
     counts = json.loads((out / "update_count.20100901.0200.json").read_text())
     assert counts["n_announcements_ipv4"] == {"route-views.wide": 1} and counts["n_updates_per_peer"] == {"route-views.wide": {"p": 1}} and counts["n_withdrawals_ipv4"] == {}
     assert json.loads((out / "update_count.20100901.0000.json").read_text())["n_updates"] == {}
-    found = run.verify()
+    found = run.verify(default_observers())
+    assert found["view_graph"].count() == 0
     assert found["rib"].count() == 0 and all(r.same for r in found["graph"].collect()) and found["edges"].count() == 0
 
 
+def test_missing_files_and_bad_lines_of_a_run(spark, tmp_path):
+    config = CollectionConfig("20100901.0000,20100901.0200", ("route-views.wide",), "run", str(tmp_path / "out"), 3600)
+    where = lambda url: str(tmp_path / url.rsplit("/", 1)[-1])
+    files = window.plan(config).files
+    for _, _, kind, url in files:
+        if kind == "rib":
+            with bz2.open(where(url), "wt") as f:
+                f.write(rib_line("p", 1, "10.0.0.0/8", "1 2 3") + "\nshort|1\n")
+    run = from_files(spark, config, where)
+    assert run.table().count() == 1 and {(r.kind, r.bad, r["lines"]) for r in run.bad_lines.collect()} == {("rib", 1, 2)}
+    assert {(r.kind, r.present) for r in run.coverage.collect()} == {("rib", True), ("update", False)}
+    assert run.coverage.count() == len(files) and run.verify()["rib"].count() == 0
+    with pytest.raises(FileNotFoundError):
+        from_files(spark, dataclasses.replace(config, strict=True), where)
+
+
+def test_labels_as_columns(spark):
+    row = spark.range(1).select(F.lit(T).cast("timestamp_ntz").alias("a"), F.lit(T + timedelta(minutes=127)).cast("timestamp_ntz").alias("b"))
+    got = row.select(window.ticks_column(F.col("a"), F.col("b"), 300).alias("t"), window.labels_column(F.col("a"), F.col("b"), 900).alias("l"), window.labels_column(F.col("a"), F.col("b"), 9000).alias("none")).first()
+    assert (got.t, got.l, got.none) == (window.ticks(T, T + timedelta(minutes=127), 300), window.snapshot_labels(T, T + timedelta(minutes=127), 900), [])
+
+
 def test_graph_without_peers(spark, tmp_path):
     edges = spark.createDataFrame([(4, 2, 3, 5), (4, 1, 2, 4)], "fam int, u bigint, v bigint, paths_count bigint")
     write_graph(edges, str(tmp_path / "g.csv"), metadata="note", peers=False)
