@@ -22,7 +22,7 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     prev = [last, *path[:-1]]
     to, of = (np.array([p is not None for p in column]) for column in (path, prev))
     kind = np.select([rows["src"] == "B", to, of], ["B", "A", "W"], "")
-    state.update((path[-1],))
+    state.update((None if path[-1] is None else [int(x) for x in path[-1]],))  # numbers of numpy are no state
     out = rows[["fam", "file_label", "line_no"]].assign(path=path, prev=prev, kind=kind)
     for place, (name, value) in enumerate(zip(("rc", "peer_ip", "pfx"), key, strict=True)):
         out.insert(place, name, value)
