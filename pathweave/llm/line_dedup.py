@@ -42,15 +42,15 @@ DISTANCE, RECALL, LEAST_BITS = 0.125, 0.9, 16
 AT_A_TIME = 12
 #: Most bits of the 31 beside a key, and of the first 128, in which a pair to be verified differs.
 NEAR_31, NEAR_128 = 10, 34
-#: Words handled at once (their counters stay in a core's cache), words that a byte can count, words and lines a worker remembers.
-AT_ONCE, COUNTED, REMEMBER, SEEN = 4096, 255, 400_000, 400_000
+#: Words handled at once (their counters stay in a core's cache), words that four bits and a byte can count, words and lines a worker remembers.
+AT_ONCE, NIBBLE, COUNTED, REMEMBER, SEEN = 2048, 15, 255, 400_000, 400_000
 LOWEST = -(2**63)
-_GAPS = re.compile(r"(?:[^\w\n]|_)+")
+_GAPS = re.compile(r"[^\w\n]+")
 
 
 def lines_of(text: str | None) -> list[str]:
     """The normalised lines of a text, as many as it has."""
-    return [] if text is None else [x.strip() for x in _GAPS.sub(" ", text.lower()).split("\n")]
+    return [] if text is None else [x.strip() for x in _GAPS.sub(" ", text.lower().replace("_", " ")).split("\n")]
 
 
 def node_of(line: str) -> int:
@@ -64,7 +64,11 @@ def blocks(lines: int) -> tuple[int, int]:
 
 
 class SimHash:
-    """SimHashes of the distinct words of lines, as rows of bits; the bits are a multiple of 64, at least 128."""
+    """SimHashes of the distinct words of lines, as rows of bits; the bits are a multiple of 64, at least 128.
+
+    A word's bits are dealt to counters of four bits, 16 in a number; the counters of NIBBLE words become bytes, those of up
+    to COUNTED words wider ones. A line of very many words is counted some words at a time.
+    """
 
     def __init__(self, bits: int) -> None:
         self.words = max(2, -(-bits // 64))
@@ -74,36 +78,66 @@ class SimHash:
         h = self.known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
-    def bits_of(self, hashes: np.ndarray) -> np.ndarray:
-        """A byte for each bit of words of these hashes, eight in a number."""
+    def nibbles(self, hashes: np.ndarray) -> np.ndarray:
+        """Four bits for each bit of words of these hashes."""
         with np.errstate(over="ignore"):
             x = hashes[:, None] + np.arange(1, self.words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).view(np.uint64)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x ^= x >> np.uint64(shift)
+                x *= np.uint64(factor)
+            x ^= x >> np.uint64(31)
+            out = np.empty((len(x), 4, self.words), np.uint64)
+            for k in range(4):
+                np.right_shift(x, np.uint64(k), out=out[:, k])
+            out &= np.uint64(0x1111111111111111)
+            return out.reshape(len(x), -1)
+
+    def bits_of(self, hashes: np.ndarray) -> np.ndarray:
+        """A byte for each bit of words of these hashes, eight in a number."""
+        return _bytes(self.nibbles(hashes))
+
+    def counts(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of runs of n hashes each, how many have each bit."""
+        runs = -(-n // NIBBLE)
+        sums = _bytes(np.add.reduceat(self.nibbles(hashes), _starts(n, NIBBLE), axis=0))
+        if len(sums) > len(n):
+            sums = np.add.reduceat(sums, _starts(runs, COUNTED // NIBBLE), axis=0)
+        sums, parts = sums.view(np.uint8), -(-runs // (COUNTED // NIBBLE))
+        return np.add.reduceat(sums.astype(np.uint32), _starts(parts, None), axis=0) if len(sums) > len(n) else sums
 
     def of(self, lines: list[str]) -> np.ndarray:
         out, at = np.zeros((len(lines), self.words * 64), bool), 0
         while at < len(lines):
             if len(self.known) > REMEMBER:
                 self.known.clear()
-            known, hashes, first, counts = self.known, [], at, []
+            known, hashes, first, n = self.known, [], at, []
             while at < len(lines) and len(hashes) < AT_ONCE:
                 words = dict.fromkeys(lines[at].split(" "))
                 hashes += [known[w] if w in known else self._hash(w) for w in words]
-                counts.append(len(words))
+                n.append(len(words))
                 at += 1
-            n = np.array(counts)
-            parts = -(-n // COUNTED)  # bytes count so many words
-            begins = np.concatenate([np.arange(b, b + k, COUNTED) for b, k in zip(np.cumsum(n) - n, n, strict=True)])
-            distinct, ids = np.unique(np.array(hashes, np.uint64), return_inverse=True)
-            sums = np.add.reduceat(self.bits_of(distinct)[ids], begins, axis=0).view(np.uint8)
-            if len(begins) > len(n):
-                sums = np.add.reduceat(sums.astype(np.uint32), np.cumsum(parts) - parts, axis=0)
-            out[first:at] = sums > (n // 2)[:, None]
+            hashed, sizes = np.array(hashes, np.uint64), np.array(n)
+            if n[-1] > AT_ONCE:  # by itself, for its counters would take much memory
+                at -= 1
+                hashed, long = np.split(hashed, [len(hashed) - n.pop()])
+                out[at] = sum(self.counts(x, np.array([len(x)]))[0].astype(np.int64) for x in np.split(long, range(AT_ONCE, len(long), AT_ONCE))) > len(long) // 2
+                sizes, at = sizes[:-1], at + 1
+            if n:
+                out[first : first + len(n)] = self.counts(hashed, sizes) > (sizes // 2)[:, None]
         return out
 
 
+def _bytes(nibbles: np.ndarray) -> np.ndarray:
+    low = np.uint64(0x0F0F0F0F0F0F0F0F)
+    return np.concatenate([nibbles & low, nibbles >> np.uint64(4) & low], axis=1)
+
+
+def _starts(n: np.ndarray, most: int | None) -> np.ndarray:
+    """Where runs of n begin that follow each other, each cut into pieces of most."""
+    begins = np.cumsum(n) - n
+    return np.concatenate([np.arange(b, b + k, most) for b, k in zip(begins, n, strict=True)]) if most and n.max() > most else begins
+
+
 def edits(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance, by bit vectors over whole rows; what the ends have in common costs nothing. Above most, any number above it."""
     if a == b:

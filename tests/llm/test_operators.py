@@ -540,6 +540,7 @@ def test_equal_lines_of_any_length_go(spark):
 
 def test_simhash_by_hand():
     lines = ["a b b", "", "one", " ".join(f"w{k}" for k in range(700)), " ".join(f"v{k}" for k in range(9))]
+    lines += [" ".join(f"x{k}" for k in range(n)) for n in (15, 16, 255, 256, line_dedup.AT_ONCE, 3 * line_dedup.AT_ONCE + 1)] + ["two words"]
     hashes = line_dedup.SimHash(200)
     got = hashes.of(lines)
     for k, x in enumerate(lines):
