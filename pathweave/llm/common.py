@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from contextlib import suppress
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,21 +86,18 @@ FILTER_BITS = 1 << 23
 
 
 def perhaps_in(value: Column, wanted: DataFrame, of: Column) -> Column:
-    """Whether a value may be among those of wanted: true for each that is. By a filter of FILTER_BITS, whatever the size of wanted."""
-    place = F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
-    parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 4096 * 2, np.uint8)
-    for r in parts.collect():  # FILTER_BITS / 8 bytes in all
-        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    one = wanted.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        at = bucket.to_numpy() * 4096 + position.to_numpy() // 8
-        return pd.Series((one.value[at] >> (position.to_numpy() % 8) & 1).astype(bool))
+    """Whether a value may be among those of wanted: true for each that is. By a filter of FILTER_BITS, whatever the size of wanted.
 
+    The filter is a scalar subquery of 64-bit words, so that it is looked up without a Python worker.
+    """
+    place = F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
+    parts = wanted.select(place.alias("p")).selectExpr("CAST(shiftright(p, 6) AS INT) AS k", "shiftleft(1L, CAST(p & 63 AS INT)) AS b")
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in parts.groupBy("k").agg(F.bit_or("b").alias("b")).collect():  # FILTER_BITS / 64 rows at most
+        words[r["k"]] = r["b"]
+    bits = wanted.sparkSession.createDataFrame([(words.tolist(),)], "bits array<bigint>").scalar()
     here = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
-    return maybe(F.bitmap_bucket_number(here), F.bitmap_bit_position(here))
+    return F.getbit(F.get(bits, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def partitions(spark: SparkSession) -> int:
