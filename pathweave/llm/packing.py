@@ -32,54 +32,112 @@ DIMS, BITS = 4, 12
 #: Chunks of text whose ids a worker remembers; a full memory is emptied.
 REMEMBER = 500_000
 #: Documents that a worker splits at once, and new pieces that it encodes together.
-AT_ONCE, TOGETHER = 200, 1000
+AT_ONCE, TOGETHER = 200, 100
 
 
-#: A stop or comma that ends a word is a token of its own; the vocabulary has no capitals, of which bytes.lower() meets A-Z.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+#: ASCII marks that end a word of small letters, the apostrophe apart, are tokens of their own; the vocabulary has no capitals,
+#: of which bytes.lower() meets A-Z. Small letters are a-z and those of Latin-1 (here in UTF-8).
+_MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xC3[\x9F-\xB6\xB8-\xBF].))[!-&(-/:-@\[-`{-~]*(?=[\x20\x09-\x0D]|$)")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+class Numbers(dict):
+    """Numbers of pieces, from 0 in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
 
 
 class Words:
     """Token ids of whole texts, by remembering those of each piece between white space.
 
     The vocabulary drops white space, so that no token reaches over it and a text's ids are those of its pieces, joined.
-    New pieces are encoded together, as one text, and told apart by where their tokens begin.
+    New pieces are encoded together, as one text, and told apart by where their tokens begin. Those that are one word of
+    small letters go past the normaliser and the search for words, which leave them as they are.
     """
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share out the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        self.plain = Tokenizer(self.model.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._clear()
         # special tokens are found before the vocabulary lower-cases: only as they are written
         self.special = re.compile(b"|".join(re.escape(x.content.encode()) for x in self.model.get_added_tokens_decoder().values()) or rb"(?!)", re.IGNORECASE)
 
+    def _clear(self) -> None:
+        """known: numbers of pieces; ids: of all pieces, as many as sizes has, from begins on."""
+        self.known, self.used = Numbers(), 0
+        self.ids, self.begins, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
     def pieces(self, text: str | None) -> list[bytes]:
         """What is between white space, lower-cased, but for pieces that hold a special token in capitals or not."""
         raw = (text or "").encode()
         if not self.special.search(raw):
-            return _STOP.sub(rb" \1", raw.lower()).split()
+            return _MARKS.sub(rb" \g<0>", raw.lower()).split()
         out: list[bytes] = []
         for w in raw.split():
-            out += [w] if self.special.search(w) else _STOP.sub(rb" \1", w.lower()).split()
+            out += [w] if self.special.search(w) else _MARKS.sub(rb" \g<0>", w.lower()).split()
         return out
 
+    def _learn(self) -> None:
+        """Encode the pieces that have a number but no ids yet."""
+        first, new = len(self.known) - len(self.known.new), [w.decode() for w in self.known.new]
+        self.begins, self.sizes = _room(self.begins, len(self.known)), _room(self.sizes, len(self.known))
+        plain = np.fromiter((_PLAIN.fullmatch(w) is not None for w in new), bool, len(new))
+        for model, numbers in ((self.plain, np.flatnonzero(plain)), (self.model, np.flatnonzero(~plain))):
+            for lo in range(0, len(numbers), TOGETHER):
+                at = numbers[lo : lo + TOGETHER]
+                some = [new[k] for k in at.tolist()]
+                got = model.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(got.ids, "<u4")
+                if model is self.plain:
+                    sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
+                else:
+                    begins = np.cumsum([0] + [len(w) + 1 for w in some])
+                    sizes = np.diff(np.searchsorted(np.fromiter((o for o, _ in got.offsets), np.int64, len(ids)), begins))
+                self.ids = _room(self.ids, self.used + len(ids))
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.begins[first + at], self.sizes[first + at] = self.used + np.cumsum(sizes) - sizes, sizes
+                self.used += len(ids)
+        self.known.new.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, the end token not included."""
-        pieces = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for lo in range(0, len(new), TOGETHER):
-            some = [w.decode() for w in new[lo : lo + TOGETHER]]
-            got = self.model.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4").tobytes()
-            begins = np.cumsum([0] + [len(w) + 1 for w in some])
-            cuts = np.searchsorted(np.array([o for o, _ in got.offsets] or [0][:0], np.int64), begins) * 4
-            self.known.update((w, ids[x:y]) for w, x, y in zip(new[lo : lo + TOGETHER], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+            self._clear()
+        try:
+            each = []
+            for t in texts:
+                p = self.pieces(t)
+                each.append(np.fromiter(map(self.known.__getitem__, p), np.int32, len(p)))
+            self._learn()
+        except BaseException:  # the worker goes on to other tasks
+            self._clear()
+            raise
+        out = []
+        for numbers in each:
+            sizes = self.sizes[numbers]
+            at = np.repeat(self.begins[numbers] - np.cumsum(sizes) + sizes, sizes)
+            at += np.arange(len(at))
+            out.append(self.ids[at].tobytes())
+        return out
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy with room for n."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, len(a) * 3 // 2), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 @lru_cache(1)

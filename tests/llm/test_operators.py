@@ -137,6 +137,16 @@ def test_tokens_of_any_text_are_the_vocabularys():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_remembered_without_the_marks_that_end_them():
+    from tokenizers import Tokenizer
+
+    model, memo = Tokenizer.from_file(vocabulary()), packing.Words(vocabulary())
+    texts = ["Onment$$$ onment,%%% onment onment. onmentü!!", "été... é's. o'. x{~ }y÷.. q1. ^ <>,", "Ü. ﬁ. ª, é́. a.b.", None]
+    for t, ids in zip(texts, memo.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert {w.decode() for w in memo.known if b"onment" in w} == {"onment", "onmentü"} and b"$$$" in memo.known
+
+
 def test_special_tokens_are_case_sensitive():
     from tokenizers import Tokenizer
 
