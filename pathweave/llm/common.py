@@ -7,8 +7,8 @@ import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
-from contextlib import suppress
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Whether Spark removes the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries run in this block go when each ends. What is cached keeps its own."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
 class Scratch:
     """Tables that cut lineage, Parquet files in one folder of the shared folder. The folder goes at the end of a with block."""
 
@@ -50,10 +65,11 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
+        """Write df, whose shuffle files go at once, and read it back."""
         path = f"{self.path}/{uuid.uuid4().hex[:8]}-{name}"
         self.at[name] = path
-        df.write.parquet(path)
+        with cleaned_up(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, *names: str) -> None:

@@ -47,12 +47,12 @@ class Grams:
     """Hashes of the n-grams of texts."""
 
     def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # an array for each word would take twice the memory
 
-    def of_word(self, word: str) -> np.ndarray:
+    def of_word(self, word: str) -> bytes:
         w = f"_{word}_"
         got = (w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))
-        return np.array([xxhash.xxh3_64_intdigest(g.encode()) for g in got if g != "_"], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(g.encode()) for g in got if g != "_"], np.uint64).tobytes()
 
     def of_text(self, text: str | None) -> np.ndarray | None:
         """The n-grams of all words, with repeats; None if there are no letters."""
@@ -65,7 +65,7 @@ class Grams:
         for w in words:
             if w not in known:
                 known[w] = self.of_word(w)
-        return np.concatenate([known[w] for w in words])
+        return np.frombuffer(b"".join([known[w] for w in words]), np.uint64)
 
 
 def ranked(grams: np.ndarray, most: int = PROFILE) -> np.ndarray:

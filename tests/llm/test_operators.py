@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import sys
+import time
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -13,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathweave.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, pii, secrets
+from pathweave.llm import chat, common, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, pii, secrets
 from pathweave.llm.components import components
 from pathweave.llm.exact_dedup import exact_dedup
 from pathweave.llm.queries import vocabulary
@@ -147,6 +149,29 @@ def test_words_are_remembered_without_the_marks_that_end_them():
     assert {w.decode() for w in memo.known if b"onment" in w} == {"onment", "onmentü"} and b"$$$" in memo.known
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    rows = spark.range(1000).selectExpr("id % 10 AS k", "id").repartition(4, "k")
+    held, conf = rows.groupBy("k").count().cache(), spark.conf.get(common.CLEAN_UP, None)
+    assert held.count() == 10
+    before = files()
+    with common.Scratch(spark) as tmp:
+        got = tmp.written(rows.join(held, "k"), "joined")
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        assert not files() - before
+        assert got.count() == 1000 and held.count() == 10
+    held.unpersist()
+    assert spark.conf.get(common.CLEAN_UP, None) == conf
+
+
 def test_special_tokens_are_case_sensitive():
     from tokenizers import Tokenizer
 
@@ -318,6 +343,12 @@ def test_language(spark, sf):
     assert {r.doc_id for r in got if r.lang_pred == "und"} == {10**6, 10**6 + 1, 10**6 + 2}
 
 
+def test_remembered_n_grams_take_little_more_than_themselves():
+    grams = language_id.Grams()
+    n = len(grams.of_text(" ".join(f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(26 * 26))))
+    assert len(grams.known) == 26 * 26 and sum(map(sys.getsizeof, grams.known.values())) <= 8 * n + 40 * 26 * 26
+
+
 def test_language_profiles_by_hand(spark):
     rows = [(1, "abab xx", "a"), (2, "abab", "a"), (3, "xyz zz", "b"), (4, None, "b"), (5, "q", None)]
     got = defaultdict(list)
