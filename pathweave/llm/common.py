@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Most files of a written table, and tasks of its last stage, for each core. For each file an executor runs chmod up to three
+#: times where Hadoop's native library is missing; as such a child starts it shares all memory of the executor.
+FILES_A_CORE = 4
 #: Whether Spark removes the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -65,11 +71,11 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, whose shuffle files go at once, and read it back."""
+        """Write df, whose shuffle files go at once, in FILES_A_CORE files a core at most, and read it back."""
         path = f"{self.path}/{uuid.uuid4().hex[:8]}-{name}"
         self.at[name] = path
         with cleaned_up(self.spark):
-            df.write.parquet(path)
+            df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, *names: str) -> None:
@@ -84,6 +90,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return scratch.written(df, name)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """The one thing that this worker process keeps from task to task, made when it is first asked for."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def alone(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that drops what tasks of other operators kept in its worker process, and at its end leaves nothing there.
+
+    Workers go from query to query: an executor holds what they keep beside its heap, also while they have no task.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        forget()  # by its name: _KEPT would be sent along as a copy
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 #: Stands for a null id on the way through pandas, whose numbers beside nulls lose digits. It is no id of its own.
 NO_ID = -(2**63)
 
@@ -97,6 +144,11 @@ def id_again(col: Column) -> Column:
     return F.when(col != NO_ID, col)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of rows of the driver, sent as Arrow: rows sent as Python objects start Python workers of their own on the executors, which stay."""
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema))
+
+
 #: Bits of the filter that spares rows without a partner a shuffle; a full one lets all through.
 FILTER_BITS = 1 << 23
 
@@ -104,14 +156,14 @@ FILTER_BITS = 1 << 23
 def perhaps_in(value: Column, wanted: DataFrame, of: Column) -> Column:
     """Whether a value may be among those of wanted: true for each that is. By a filter of FILTER_BITS, whatever the size of wanted.
 
-    The filter is a scalar subquery of 64-bit words, so that it is looked up without a Python worker.
+    The filter is a scalar subquery of 64-bit words, so that it is looked up without a Python worker; nor is it sent by one.
     """
     place = F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
     parts = wanted.select(place.alias("p")).selectExpr("CAST(shiftright(p, 6) AS INT) AS k", "shiftleft(1L, CAST(p & 63 AS INT)) AS b")
     words = np.zeros(FILTER_BITS // 64, np.int64)
     for r in parts.groupBy("k").agg(F.bit_or("b").alias("b")).collect():  # FILTER_BITS / 64 rows at most
         words[r["k"]] = r["b"]
-    bits = wanted.sparkSession.createDataFrame([(words.tolist(),)], "bits array<bigint>").scalar()
+    bits = local_table(wanted.sparkSession, [(words,)], pa.schema([("bits", pa.list_(pa.int64()))])).scalar()
     here = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
     return F.getbit(F.get(bits, F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1
 

@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, range_id, written
+from .common import local_table, partitions, range_id, written
 
 #: Characters of a text that lead the sort key.
 HEAD = 16
+MERGED = pa.schema([("_pid", pa.int32()), ("_run", pa.int32()), ("_all_keep", pa.int64()), ("_all_size", pa.int64()), ("_keeper", pa.bool_())])
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=None, carry: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +54,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     best = F.max("_id") if keep == "max" else F.min(F.coalesce("_id", F.lit(-(2**63))))
     runs = runs_in.groupBy("_pid", "_run").agg(best.alias("_keep"), F.count("*").alias("_size"))
-    merged = spark.createDataFrame(_across(runs_in, runs, keep), "_pid int, _run int, _all_keep bigint, _all_size bigint, _keeper boolean")
+    merged = local_table(spark, _across(runs_in, runs, keep), MERGED)
     out = runs_in.join(runs, ["_pid", "_run"]).join(F.broadcast(merged), ["_pid", "_run"], "left")
     kept_id = F.coalesce("_all_keep", "_keep")
     return out.select(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import alone, written
 
 PROFILE = 400
 GRAMS = (1, 2, 3, 4)
@@ -88,6 +88,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ke
         share = F.broadcast(share)
     sample = labelled.join(share, "lang").filter("_u < _below").select("lang", "_t")
 
+    @alone
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, held = Grams(), Counter()
         for b in batches:
@@ -132,6 +133,7 @@ def _scorer(profile: list):
         ranks[at, [langs.index(r["lang"]) for r in profile]] = [r["rank"] for r in profile]
 
     @F.pandas_udf("lang_pred string, score double, distance bigint")
+    @alone
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for s in texts:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, perhaps_in, written
+from .common import Scratch, alone, perhaps_in, written
 from .components import components
 
 SIMILARITY = 0.75
@@ -182,6 +182,7 @@ PLACE = pa.struct([("i", pa.int64()), ("r", pa.int64()), ("p", pa.int32())])
 def _describe(bits: int):
     """node, place and, of each node once in a task or so, the SimHash of every line with letters or digits."""
 
+    @alone
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = SimHash(bits), set()
         for b in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
@@ -265,6 +266,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, tmp: Scrat
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = wanted.join(sketches, "node").select("node", F.xxhash64("at.i", "at.r").alias("_doc"))
 
+    @alone
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = {node_of(x): x for t in b.column(0).to_pylist() for x in lines_of(t) if x}
@@ -273,6 +275,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, tmp: Scrat
     texts = rows.filter(perhaps_in(F.xxhash64("_id", "_row"), places, F.col("_doc"))).select("_t").mapInArrow(read, "node bigint, line string")
     texts = tmp.written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")), f"texts_{name}")
 
+    @alone
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             yield p.loc[[alike(x, y) for x, y in zip(p["x"], p["y"], strict=True)], ["a", "b"]]

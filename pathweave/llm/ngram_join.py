@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_again, id_or_none, perhaps_in, written
+from .common import Scratch, alone, id_again, id_or_none, perhaps_in, written
 from .components import components
 
 WORDS = 5
@@ -266,6 +266,7 @@ def _describe(clashing: frozenset[int]):
     The key of a row about a document only deals it: copies of one text, and rows of one id, do not go to one task.
     """
 
+    @alone
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, done, serial = Shingles(), set(), 0
         with np.errstate(over="ignore"):
@@ -381,6 +382,7 @@ def _refined(texts: DataFrame, clashing: frozenset[int]) -> DataFrame:
     earlier holds the node's whole keys of earlier segments: two nodes that have one in common have met there already.
     """
 
+    @alone
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         with np.errstate(over="ignore"):
@@ -471,6 +473,7 @@ def _across(shared: DataFrame, labels: DataFrame, maps: DataFrame, tmp: Scratch
 
 
 def _named_texts(clashing: frozenset[int]):
+    @alone
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         with np.errstate(over="ignore"):
@@ -500,6 +503,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame | None, tmp: S
         x, y = F.when(same | ~above, F.col("own_a")).otherwise(F.col("below_a")), F.when(same | above, F.col("own_b")).otherwise(F.col("below_b"))
         pairs = mapped.filter(_may_link(F.col("n_a"), F.col("n_b"), x, y)).select("a", "b")
 
+    @alone
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, last = Shingles(), OrderedDict()
 

@@ -16,14 +16,13 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_again, id_or_none, partitions, range_id, written
+from .common import id_again, id_or_none, kept, partitions, range_id, written
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END_ID = 4096, 2
@@ -140,10 +139,9 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@lru_cache(1)
 def words_of(vocabulary: str) -> Words:
-    """One for each worker process, which goes from task to task."""
-    return Words(vocabulary)
+    """One for each worker process, which goes from task to task, until another operator's task comes to it."""
+    return kept(f"words of {vocabulary}", lambda: Words(vocabulary))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -6,11 +6,14 @@ import re
 import sys
 import time
 import unicodedata
+import weakref
 import zlib
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -172,6 +175,34 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(common.CLEAN_UP, None) == conf
 
 
+def test_tasks_of_other_operators_drop_the_words_that_packing_kept():
+    from pyspark import cloudpickle
+
+    again = lambda f: cloudpickle.loads(cloudpickle.dumps(f))  # noqa: E731  as a worker gets it
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], names=["_id", "_t"])
+    for task, batches in ((ngram_join._describe(frozenset()), [rows]), (line_dedup._describe(128), []), (language_id._scorer([]).func, [pd.Series(["text"])])):
+        words = weakref.ref(packing.words_of(vocabulary()))
+        assert packing.words_of(vocabulary()) is words()
+        assert len(list(again(task)(iter(batches)))) == len(batches)
+        assert words() is None
+
+
+def test_written_tables_have_few_files(spark):
+    with common.Scratch(spark) as tmp:
+        got = tmp.written(spark.range(500).repartition(211), "many")
+        assert len(got.inputFiles()) <= common.FILES_A_CORE * spark.sparkContext.defaultParallelism
+        assert sorted(r.id for r in got.collect()) == list(range(500))
+
+
+def test_tables_sent_from_the_driver_start_no_python_workers(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    some = docs.filter(common.perhaps_in(F.col("doc_id"), spark.range(5), F.col("id")))
+    assert {r.doc_id for r in some.collect()} >= set(range(5)) and some.count() < 10
+    for df in (some, exact_dedup(docs)):
+        assert "LocalRelation" in plan(df) and not re.search("ExistingRDD|LogicalRDD", plan(df))
+
+
 def test_special_tokens_are_case_sensitive():
     from tokenizers import Tokenizer
 
