@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -235,27 +236,37 @@ def _meeting(described: DataFrame, bits: int, some: range) -> DataFrame:
 
 
 def line_links(rows: DataFrame, tmp: Scratch) -> DataFrame:
-    """a, b: links of alike lines that make all groups; of rows (_id, _row, _t), with the places of all lines written as described."""
+    """a, b: links of alike lines that make all groups; of rows (_id, _row, _t), with the places of all lines written as lines."""
     total = rows.agg(F.sum(F.size(F.split("_t", "\n")))).first()[0] or 0
     bits, number = blocks(total)
     described = tmp.written(rows.mapInArrow(_describe(max(bits * number, 128)), "node bigint, place struct<i:bigint,r:bigint,p:int>, bits array<bigint>"), "described")
-    shared = None
-    for lo in range(0, number, AT_A_TIME):
-        met = tmp.written(_meeting(described, bits, range(lo, min(number, lo + AT_A_TIME))), f"met{lo}")
-        shared = met if shared is None else shared.union(met)
-    heads = shared.filter(f"node <> head AND {_unlike('part', 'head_part')} <= {NEAR_31}").groupBy("node", "head").agg(F.count("*").alias("c"))
-    to_head = heads.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("c", "head")).alias("b"))  # the head of most of its blocks
+    met = {f"met{lo}": _meeting(described, bits, range(lo, min(number, lo + AT_A_TIME))) for lo in range(0, number, AT_A_TIME)}
+    met = {name: tmp.written(some, name) for name, some in met.items()}
+    shared = reduce(DataFrame.union, met.values())
     sketches = described.filter("bits IS NOT NULL").select("node", F.struct("place.i", "place.r").alias("at"), F.get("bits", F.lit(0)).alias("s1"), F.get("bits", F.lit(1)).alias("s2"))
-    sketches = sketches.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("at").alias("at"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    sketches = tmp.written(sketches, "sketches")
+    sketches = tmp.written(sketches.groupBy("node").agg(F.min("at").alias("at"), F.min("s1").alias("s1"), F.min("s2").alias("s2")), "sketches")
+    tmp.written(described.select("node", "place"), "lines")
+    tmp.remove("described")  # the other bits are most of the disk that lines take
+    heads = shared.filter(f"node <> head AND {_unlike('part', 'head_part')} <= {NEAR_31}").groupBy("node", "head").agg(F.count("*").alias("c"))
+    to_head = tmp.written(heads.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("c", "head")).alias("b")), "to_head")  # the head of most of its blocks
     links = _verified(to_head, rows, sketches, tmp, "to_head")
     labels = components(links, into=tmp)
-    named = shared.select("key", "part", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = []
+    for name, some in met.items():  # one at a time: no key is in two of them, and what a join moves is a part of all
+        pairs.append(tmp.written(_across(some, labels), f"pairs_{name}"))
+        tmp.remove(name)
+    pairs = reduce(DataFrame.union, pairs).distinct()
+    return links.union(_verified(pairs.join(to_head, ["a", "b"], "left_anti"), rows, sketches, tmp, "across"))
+
+
+def _across(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the pairs (a > b) of nodes that meet, are in two groups yet and have 31 bits that are near."""
+    named = met.select("key", "part", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     named = named.join(mixed, "key", "left_semi")
     x, y = (named.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "node", "label")]) for side in "xy")
-    pairs = x.join(y, "key").filter(f"node_x > node_y AND label_x <> label_y AND {_unlike('part_x', 'part_y')} <= {NEAR_31}").select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    return links.union(_verified(pairs.join(to_head, ["a", "b"], "left_anti"), rows, sketches, tmp, "across"))
+    pairs = x.join(y, "key").filter(f"node_x > node_y AND label_x <> label_y AND {_unlike('part_x', 'part_y')} <= {NEAR_31}")
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -290,7 +301,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_row"), text.alias("_t"))
     with Scratch(docs.sparkSession) as tmp:
         groups = components(line_links(rows, tmp), into=tmp)
-        described = docs.sparkSession.read.schema("node bigint, place struct<i:bigint,r:bigint,p:int>").parquet(tmp.at["described"])
+        described = docs.sparkSession.read.schema("node bigint, place struct<i:bigint,r:bigint,p:int>").parquet(tmp.at["lines"])
         lines = described.join(groups, "node", "left").select(F.coalesce("label", "node").alias("group"), F.struct("place.i", "place.r", "place.p").alias("place"))
         many = lines.groupBy("group").agg(F.min("place").alias("stays"), F.count("*").alias("c")).filter("c > 1").select("group", "stays")
         gone = lines.join(many, "group").filter("place <> stays").groupBy(F.col("place.i").alias("_id"), F.col("place.r").alias("_row"))

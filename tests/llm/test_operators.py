@@ -575,6 +575,25 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_tables_go_once_they_are_read_no_more(spark, monkeypatch):
+    there, write = {}, common.Scratch.written
+
+    def written(self, df, name):
+        there[name] = set(self.at)
+        return write(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "written", written)
+    monkeypatch.setattr(line_dedup, "AT_A_TIME", 8)
+    rng = random.Random(5)
+    rows = [(k, "\n".join(words(rng, 12, 3000) for _ in range(4)) + "\nthe same line of some words in all of them") for k in range(30)]
+    assert sum(r.n_lines - r.n_kept for r in line_dedup.line_dedup(table(spark, rows)).collect()) == 29
+    met = sorted((x for x in there if x.startswith("met")), key=lambda x: int(x[3:]))
+    assert len(met) > 2 and "described" in there[met[-1]] and "described" not in there["to_head"]
+    for k, name in enumerate(met):  # each goes as soon as its pairs are written
+        assert there[f"pairs_{name}"] & set(met) == set(met[k:])
+    assert not there["near_across"] & {"described", *met}
+
+
 def test_recall_of_line_links(spark, sf):
     """Against all pairs of edit similarity 0.75 or more, found without SimHashes: 0.9 of the lines that have such a pair find their group."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
